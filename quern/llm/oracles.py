@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from quern.llm import license_scan
 from quern.llm.quality_rules import STOP_WORDS
 
 _STOPS = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
 
+_VOTERS = ", ".join(f"({t}, '{label}', {phrase}, {n}, '{gram}', {i})" for t, label, phrase, n, gram, i in license_scan.positions())
+
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": """
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
@@ -46,5 +49,39 @@ WITH d AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND failed_rules = '' AS kept, failed_rules
 FROM x
+""",
+    "op3_license_scan": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), t(template, label, phrase, grams, tgram, at) AS (VALUES {_VOTERS}),
+g AS (
+  SELECT r, i - 1 AS pos, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM d)
+), dia AS (
+  SELECT r, template, label, phrase, grams, pos - at AS diagonal, count(*) AS votes, min(pos) AS lo, max(pos) AS hi
+  FROM g JOIN t ON gram = tgram GROUP BY ALL
+), cl AS (
+  SELECT *, sum(CASE WHEN phrase OR coalesce(diagonal - prev > {license_scan.GAP}, true) THEN 1 ELSE 0 END)
+            OVER (PARTITION BY r, template ORDER BY diagonal) AS c
+  FROM (SELECT *, lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) AS prev FROM dia)
+), m AS (
+  SELECT r, template, label, phrase, grams, c, sum(votes) AS votes, min(diagonal) AS diagonal,
+         least(1.0::DOUBLE, sum(votes)::DOUBLE / grams) AS score
+  FROM cl GROUP BY ALL
+), f AS (
+  SELECT * FROM m WHERE CASE WHEN phrase THEN votes = grams ELSE score >= {license_scan.LEAST} END
+), a AS (
+  SELECT r, count(*) FILTER (phrase) AS n_base, min(diagonal) FILTER (phrase) AS first_word,
+         max(diagonal) FILTER (phrase) AS last_word,
+         coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (phrase))), ','), '') AS base_labels,
+         array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(score) AS score
+  FROM f GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+       last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN a USING (r)
 """,
 }
