@@ -56,11 +56,11 @@ WITH d AS (
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents
-), t(template, label, phrase, grams, tgram, at) AS (VALUES {_VOTERS}),
+), t(template, label, phrase, grams, tgram, tpos) AS (VALUES {_VOTERS}),
 g AS (
   SELECT r, i - 1 AS pos, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM d)
 ), dia AS (
-  SELECT r, template, label, phrase, grams, pos - at AS diagonal, count(*) AS votes, min(pos) AS lo, max(pos) AS hi
+  SELECT r, template, label, phrase, grams, pos - tpos AS diagonal, count(*) AS votes, min(pos) AS lo, max(pos) AS hi
   FROM g JOIN t ON gram = tgram GROUP BY ALL
 ), cl AS (
   SELECT *, sum(CASE WHEN phrase OR coalesce(diagonal - prev > {license_scan.GAP}, true) THEN 1 ELSE 0 END)
