@@ -54,7 +54,8 @@ def frequent(df: DataFrame, key: str, tracked: int = TRACKED, winners: int = WIN
     """
     part = df.where(F.col(key).isNotNull()).groupBy(F.pmod(F.spark_partition_id(), F.lit(FAN_IN)).alias("_g"))
     summaries = part.agg(F.expr(f"approx_top_k_accumulate({key}, {tracked})").alias("_s"))
-    merged = summaries.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(_s, {tracked}), {winners})").alias("_t"))
+    # Grouped by a constant: a global combine fails on tasks without a summary.
+    merged = summaries.groupBy(F.lit(0).alias("_0")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(_s, {tracked}), {winners})").alias("_t"))
     return merged.select(F.explode("_t").alias("_i")).where("_i.count > 1").select(F.col("_i.item").alias(key))
 
 
