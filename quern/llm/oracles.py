@@ -69,7 +69,7 @@ g AS (
 ), m AS (
   SELECT r, template, label, phrase, grams, c, sum(votes) AS votes, min(diagonal) AS diagonal,
          least(1.0::DOUBLE, sum(votes)::DOUBLE / grams) AS score
-  FROM cl GROUP BY ALL
+  FROM cl GROUP BY r, template, label, phrase, grams, c
 ), f AS (
   SELECT * FROM m WHERE CASE WHEN phrase THEN votes = grams ELSE score >= {license_scan.LEAST} END
 ), a AS (
