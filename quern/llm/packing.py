@@ -13,40 +13,111 @@ from quern.llm.shared import stage
 
 SIZE, END = 2048, 1
 #: Chunks of text whose ids a worker remembers, and rows that it turns into Python objects at once.
-REMEMBERED, ROWS = 250_000, 128
+REMEMBERED, ROWS = 300_000, 64
 #: Pieces that one numbering bucket gets on average.
 BUCKET = 8192
 
 _encoders: dict[int, tuple] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary; the blank stays."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in own)
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)} | {32: " "}
+
+
 class ChunkEncoder:
     """Token ids of whole texts, as little-endian 32-bit numbers, by remembered chunks.
 
     Blanks and line ends separate tokens under this vocabulary, and nothing
     in its normalisation reaches across them. So the ids of a text are those
-    of its chunks, one after another, and frequent chunks are looked up.
+    of its chunks, one after another. Chunks are looked up; new ones are
+    encoded together, set apart by a control character that is always a token
+    of its own. A full stop or comma after a letter is one too, so such chunks
+    are made from two. Words of Latin-1 letters need no normalisation beyond
+    lower case and go to the merges directly.
     """
 
+    MARK = "\x01"
+
     def __init__(self, vocabulary: str):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_str(vocabulary), {"": b""}
+        self.whole = Tokenizer.from_str(vocabulary)
+        bare = json.loads(vocabulary) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.merges = Tokenizer.from_str(json.dumps(bare))
+        (self.mark,) = self.whole.encode(self.MARK, add_special_tokens=False).ids
+        self.ends = {c: self._alone(c) for c in ".,"}
+        self.letters = _byte_letters()
+        self.known = {"": b""}
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def _alone(self, chunk: str) -> bytes:
         import numpy as np
 
+        return np.array(self.whole.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _together(self, chunks: list[str], words: bool) -> None:
+        import numpy as np
+
+        for k in range(0, len(chunks), 2048):
+            part = chunks[k : k + 2048]
+            text = f" {self.MARK} ".join(part)
+            if words:
+                text = text.encode().decode("latin-1").translate(self.letters)
+            use = self.merges if words else self.whole
+            ids = np.array(use.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            data, at = ids.tobytes(), 0
+            for c, cut in zip(part, [*np.flatnonzero(ids == self.mark).tolist(), len(ids)], strict=True):
+                self.known[c] = data[at * 4 : cut * 4]
+                at = cut + 1
+
+    @staticmethod
+    def _is_word(chunk: str) -> bool:
+        if not chunk.isalpha():
+            return False
+        try:
+            return chunk.isascii() or bool(chunk.encode("latin-1"))
+        except UnicodeEncodeError:
+            return False
+
+    def _learn(self, new: set[str]) -> None:
+        known, ended, cased, words, others = self.known, [], [], set(), []
+        stems = set()
+        for c in new:
+            if len(c) > 1 and c[-1] in self.ends and c[-2].isalpha():
+                ended.append(c)
+                stems.add(c[:-1])
+            else:
+                stems.add(c)
+        for c in stems:
+            if self._is_word(c):
+                low = c.lower()
+                if low != c:
+                    cased.append((c, low))
+                words.add(low)
+            elif self.MARK in c or "<|" in c:
+                known[c] = self._alone(c)
+            else:
+                others.append(c)
+        self._together([c for c in words if c not in known], True)
+        self._together([c for c in others if c not in known], False)
+        for c, low in cased:
+            known[c] = known[low]
+        for c in ended:
+            known[c] = known[c[:-1]] + self.ends[c[-1]]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > REMEMBERED:
             self.known = {"": b""}
-        new = list({c for chunks in split for c in chunks if c not in self.known})
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, "<u4").tobytes()
+        new = set().union(*split).difference(self.known)
+        if new:
+            self._learn(new)
         look = self.known.__getitem__
         return [b"".join(map(look, chunks)) for chunks in split]
 
