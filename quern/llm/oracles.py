@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import license_scan
+from quern.llm import chat_format, license_scan
 from quern.llm.quality_rules import STOP_WORDS
 
 _STOPS = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
@@ -83,5 +83,40 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
        last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
        coalesce(score, 0.0)::DOUBLE AS score
 FROM d LEFT JOIN a USING (r)
+""",
+    "op8_chat_format": rf"""
+WITH src AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{chat_format.END}{chat_format.START}assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '{chat_format.END}{chat_format.START}assistant ok'
+), t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i,
+         len(regexp_extract_all(coalesce(text, ''), '{chat_format.PIECES}')) + {chat_format.MARKS} AS n
+  FROM src
+), p AS (
+  SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY i) AS e,
+         first_value(role) OVER (PARTITION BY conv_id ORDER BY i) = 'system' AS sys,
+         greatest(1, {chat_format.BUDGET - chat_format.HISTORY} - CASE WHEN first_value(role) OVER (PARTITION BY conv_id ORDER BY i) = 'system'
+           THEN first_value(n) OVER (PARTITION BY conv_id ORDER BY i) ELSE 0 END) AS step
+  FROM t
+), c AS (
+  SELECT *, ((e - n) // step) * 2 + CASE WHEN (e - n) // step < (e - 1) // step THEN 1 ELSE 0 END AS cell FROM p
+), w AS (
+  SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY i) - 1 AS win
+  FROM (SELECT *, CASE WHEN cell IS DISTINCT FROM lag(cell) OVER (PARTITION BY conv_id ORDER BY i) THEN 1 ELSE 0 END AS new FROM c)
+), l AS (
+  SELECT *, max(e) OVER (PARTITION BY conv_id, win) AS last, max(win) OVER (PARTITION BY conv_id) AS wins FROM w
+), k AS (
+  SELECT *, CASE WHEN sys AND i = 1 THEN wins + 1 WHEN win < wins AND last - (e - n) <= {chat_format.HISTORY} THEN 2 ELSE 1 END AS copies,
+         length(replace(replace(replace(role, '~', '~0'), '<|', '<~1'), chr(10), '~2')) + length(replace(replace(text, '~', '~0'), '<|', '<~1'))
+           + {len(chat_format.START) + len(chat_format.END) + 2} AS chars
+  FROM l
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(copies * chars)::BIGINT AS formatted_chars
+FROM k GROUP BY conv_id
 """,
 }
