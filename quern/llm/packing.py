@@ -14,6 +14,8 @@ from quern.llm.shared import stage
 SIZE, END = 2048, 1
 #: Chunks of text whose ids a worker remembers, and rows that it turns into Python objects at once.
 REMEMBERED, ROWS = 300_000, 64
+#: Longer chunks are seldom seen again and are not remembered.
+FREQUENT = 11
 #: Pieces that one numbering bucket gets on average.
 BUCKET = 8192
 
@@ -36,7 +38,7 @@ class ChunkEncoder:
     encoded together, set apart by a control character that is always a token
     of its own. A full stop or comma after a letter is one too, so such chunks
     are made from two. Words of Latin-1 letters need no normalisation beyond
-    lower case and go to the merges directly.
+    lower case and go to the merges directly. Lower case changes no ids.
     """
 
     MARK = "\x01"
@@ -54,14 +56,14 @@ class ChunkEncoder:
         (self.mark,) = self.whole.encode(self.MARK, add_special_tokens=False).ids
         self.ends = {c: self._alone(c) for c in ".,"}
         self.letters = _byte_letters()
-        self.known = {"": b""}
+        self.known: dict[str, bytes] = {}
 
     def _alone(self, chunk: str) -> bytes:
         import numpy as np
 
         return np.array(self.whole.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _together(self, chunks: list[str], words: bool) -> None:
+    def _together(self, chunks: list[str], words: bool, into: dict[str, bytes]) -> None:
         import numpy as np
 
         for k in range(0, len(chunks), 2048):
@@ -73,19 +75,15 @@ class ChunkEncoder:
             ids = np.array(use.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             data, at = ids.tobytes(), 0
             for c, cut in zip(part, [*np.flatnonzero(ids == self.mark).tolist(), len(ids)], strict=True):
-                self.known[c] = data[at * 4 : cut * 4]
+                into[c] = data[at * 4 : cut * 4]
                 at = cut + 1
 
     @staticmethod
     def _is_word(chunk: str) -> bool:
-        if not chunk.isalpha():
-            return False
-        try:
-            return chunk.isascii() or bool(chunk.encode("latin-1"))
-        except UnicodeEncodeError:
-            return False
-
-    def _learn(self, new: set[str]) -> None:
+        return chunk.isalpha() and _latin(chunk)
+
+    def _learn(self, new: list[str], look: dict[str, bytes]) -> None:
+        """Adds the ids of new chunks to look."""
         known, ended, cased, words, others = self.known, [], [], set(), []
         stems = set()
         for c in new:
@@ -95,33 +93,53 @@ class ChunkEncoder:
             else:
                 stems.add(c)
         for c in stems:
-            if self._is_word(c):
+            if c in look:
+                continue
+            if c in known:
+                look[c] = known[c]
+            elif self._is_word(c):
                 low = c.lower()
                 if low != c:
                     cased.append((c, low))
                 words.add(low)
             elif self.MARK in c or "<|" in c:
-                known[c] = self._alone(c)
+                look[c] = self._alone(c)
             else:
                 others.append(c)
-        self._together([c for c in words if c not in known], True)
-        self._together([c for c in others if c not in known], False)
+        self._together([c for c in words if c not in look], True, look)
+        self._together(others, False, look)
         for c, low in cased:
-            known[c] = known[low]
+            look[c] = look[low]
         for c in ended:
-            known[c] = known[c[:-1]] + self.ends[c[-1]]
+            look[c] = look[c[:-1]] + self.ends[c[-1]]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        new = set().union(*split).difference(self.known)
+        split = [(t.lower() if _latin(t) else t).replace("\n", " ").split(" ") for t in texts]
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        # The chunks of these texts are few enough to stay in the processor's cache.
+        look, new = {"": b""}, []
+        for c in set().union(*split):
+            ids = known.get(c)
+            if ids is None:
+                new.append(c)
+            else:
+                look[c] = ids
         if new:
-            self._learn(new)
-        look = self.known.__getitem__
+            self._learn(new, look)
+            known.update((c, look[c]) for c in new if len(c) <= FREQUENT)
+        look = look.__getitem__
         return [b"".join(map(look, chunks)) for chunks in split]
 
 
+def _latin(text: str) -> bool:
+    try:
+        return text.isascii() or text.encode("latin-1") is not None
+    except UnicodeEncodeError:
+        return False
+
+
 def encoder(vocabulary: str) -> ChunkEncoder:
     """The worker's encoder; it lives on from task to task."""
     key = hash(vocabulary)
