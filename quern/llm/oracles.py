@@ -83,6 +83,17 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
        last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
        coalesce(score, 0.0)::DOUBLE AS score
 FROM d LEFT JOIN a USING (r)
+""",
+    "op6_warc": """
+WITH p AS (SELECT row_number() OVER () AS r, page_id, octet_length(encode(coalesce(html, ''))) AS b, sha256(coalesce(html, '')) AS d FROM pages),
+q AS (
+  SELECT *, first_value(page_id) OVER g AS lo, row_number() OVER g AS i FROM p
+  WINDOW g AS (PARTITION BY d ORDER BY page_id NULLS LAST, r)
+)
+SELECT page_id, b::BIGINT AS payload_bytes, d AS payload_digest,
+       CASE WHEN b >= 100 AND i > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN b >= 100 AND i > 1 THEN lo END AS refers_to
+FROM q
 """,
     "op8_chat_format": rf"""
 WITH src AS (
