@@ -43,15 +43,15 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word of each text, A-Z lower-cased, and where each text's words begin.
+def spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last byte of each word, and where each text's words begin.
 
     data holds the texts in UTF-8, text k from bounds[k] to bounds[k + 1]. A
     word is a run of anything but ASCII white space.
     """
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
     solid = ~_SPACE[data]
     edge = np.zeros(n + 1, bool)
     edge[bounds] = True
@@ -60,13 +60,24 @@ def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     starts = np.flatnonzero(solid & (~before | edge[:-1]))
     after = np.empty(n, bool)
     after[-1], after[:-1] = False, solid[1:]
-    ends = np.flatnonzero(solid & (~after | edge[1:]))
+    return starts, np.flatnonzero(solid & (~after | edge[1:])), np.searchsorted(starts, bounds)
+
+
+def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word, A-Z lower-cased."""
+    n = len(data)
     power, inverse = _power(n)
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_VALUE[data] * power[:n], out=total[1:])
         h = (total[ends + 1] - total[starts]) * inverse[starts]
-    return mix(h + (ends - starts).astype(np.uint64)), np.searchsorted(starts, bounds)
+        return mix(h + (ends - starts).astype(np.uint64))
+
+
+def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of each text, A-Z lower-cased, and where each text's words begin."""
+    starts, ends, at = spans(data, bounds)
+    return hashed(data, starts, ends), at
 
 
 def sets(hashes: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
