@@ -15,7 +15,7 @@ from quern.llm.shingles import chunks, hashed, mix, spans
 
 ABSTAIN, GOOD, BAD = 0, 1, 2
 #: Weights of the scorer, documents that it is trained on at most, and the least score of a kept document.
-BUCKETS, SAMPLE, LEAST = 1 << 16, 8192, 0.3
+BUCKETS, SAMPLE, LEAST = 1 << 16, 8192, 0.4
 
 
 class Labeller(NamedTuple):
@@ -160,7 +160,7 @@ def features(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     return (every & np.uint64(BUCKETS - 1)).astype(np.int64).ravel(), 4 * t.at
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, rounds: int = 150, decay: float = 1e-6) -> np.ndarray:
+def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, rounds: int = 300, decay: float = 1e-6) -> np.ndarray:
     """Logistic regression on mean hashed features with soft targets; the last weight is the intercept."""
     weights = np.zeros(BUCKETS + 1)
     if not len(target):
