@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quern.llm import chat_format, exact_dedup, jaccard_join, license_scan, packing, quality_classifier, quality_rules, substring_dedup, warc
+from quern.llm import chat_format, exact_dedup, jaccard_join, license_scan, mixing, packing, quality_classifier, quality_rules, substring_dedup, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +51,22 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.windows(every))
 
 
+#: Shares of all tokens that the mixture is to have.
+TARGETS = {"clean": 0.90, "low": 0.07, "toxic": 0.03}
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The domain of each labelled document."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "clean")
+    return read(spark, sf_dir, "labels").select("doc_id", domain.alias("domain"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read(spark, sf_dir, "documents"), labelled(spark, sf_dir), TARGETS)
+    shares = [F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(sorted(TARGETS))]
+    return mixed.select("doc_id", "source", "tokens", *shares, "rate", "copies")
+
+
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     """The JSON of an installed public tokenizer."""
     import public_tokenizers
@@ -71,5 +88,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc": op6_warc,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_chat_format": op8_chat_format,
+    "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
 }
