@@ -36,7 +36,7 @@ class ChunkEncoder:
     in its normalisation reaches across them. So the ids of a text are those
     of its chunks, one after another. Chunks are looked up; new ones are
     encoded together, set apart by a control character that is always a token
-    of its own. A full stop or comma after a letter is one too, so such chunks
+    of its own. A full stop or comma after a letter, lower-cased, is one too, so such chunks
     are made from two. Words of Latin-1 letters need no normalisation beyond
     lower case and go to the merges directly. Lower case changes no ids.
     """
@@ -87,7 +87,7 @@ class ChunkEncoder:
         known, ended, cased, words, others = self.known, [], [], set(), []
         stems = set()
         for c in new:
-            if len(c) > 1 and c[-1] in self.ends and c[-2].isalpha():
+            if len(c) > 1 and c[-1] in self.ends and c[-2].lower().isalpha():
                 ended.append(c)
                 stems.add(c[:-1])
             else:

@@ -84,3 +84,10 @@ def test_hot_group(spark):
     rows = [(i, "the same text that a third of all rows hold and more of it") for i in range(200)]
     rows += family(rng, 1000, 150, 40, 2)
     check(spark, rows)
+
+
+def test_clusters_of_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 300)
+    rng = random.Random(11)
+    rows = family(rng, 0, 60, 50, 6) + family(rng, 100, 40, 80, 9)
+    check(spark, rows)
