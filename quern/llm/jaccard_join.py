@@ -14,6 +14,8 @@ from quern.llm.shingles import mix, shingle_sets
 
 #: Words of a shingle, and the least similarity in hundredths.
 K, PERCENT = 4, 85
+#: Elements of the sets of a block, if a single set doesn't have more.
+BLOCK = 1 << 15
 #: Largest set whose size band is tabulated.
 LARGEST = 1 << 40
 
@@ -166,6 +168,67 @@ def _linked(pairs: DataFrame, sets_: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").mapInArrow(run, "u long, v long")
 
 
+def _within(left: DataFrame, sets_: DataFrame, percent: int) -> DataFrame:
+    """Links between different roots among the sets of each home, at most one for each two roots of a pair of blocks.
+
+    A home's sets are cut into blocks of bounded size, in order of root, and
+    each pair of blocks that has more than one root is a row of its own. So a
+    home of any size is spread, no pairs of sets are rows, and no task holds
+    more than two blocks.
+    """
+    nodes = left.groupBy("home", "node").agg(F.first("root").alias("root"), F.first("n").alias("n"))
+    several = nodes.groupBy("home").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("home")
+    by = Window.partitionBy("home").orderBy("root", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = nodes.join(several, "home", "left_semi").withColumn("block", F.floor((F.sum("n").over(by) - F.col("n")) / BLOCK))
+    blocks = stage(
+        placed.join(sets_, "node")
+        .groupBy("home", "block")
+        .agg(F.collect_list(F.struct("node", "root", "x")).alias("s"), F.min("root").alias("lo"), F.max("root").alias("hi")),
+        "blocks",
+    )
+    ends = blocks.select("home", "block", "lo", "hi")
+    # Both sides carry numbers only here.
+    numbers = ends.join(ends.select("home", F.col("block").alias("with"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2")), "home")
+    numbers = numbers.where("block <= with and not (lo = hi and lo2 = hi2 and lo = lo2)").select("home", "block", "with")
+    second = blocks.select("home", F.col("block").alias("with"), F.col("s").alias("t"))
+    both = numbers.join(blocks.select("home", "block", "s"), ["home", "block"]).join(second, ["home", "with"]).select("s", "t")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            for i in range(b.num_rows):
+                sides = []
+                for c in (0, 1):
+                    v = b.column(c)[i].values
+                    sides.append((v.field("node").to_numpy(), v.field("root").to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in v.field("x")]))
+                u, v = _compared(*sides[0], *sides[1], percent)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return both.mapInArrow(run, "u long, v long")
+
+
+def _compared(nodes, roots, xs, others, other_roots, ys, percent: int) -> tuple[list[int], list[int]]:
+    """One link, if there is any, for each two different roots of two blocks."""
+    sizes = np.array([len(y) for y in ys])
+    values, owner = np.concatenate(ys), np.repeat(np.arange(len(ys)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    u, v, seen = [], [], set()
+    for node, root, x in zip(nodes.tolist(), roots.tolist(), xs, strict=True):
+        lo, hi = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
+        n = hi - lo
+        where = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        both = np.bincount(owner[where], minlength=len(ys))
+        near = (100 * both >= percent * (len(x) + sizes - both)) & (other_roots != root)
+        for k in np.flatnonzero(near).tolist():
+            if (key := (root, int(other_roots[k]))) not in seen:
+                seen.add(key)
+                u.append(node)
+                v.append(int(others[k]))
+    return u, v
+
+
 def _near(percent: int, n: str, m: str):
     return (100 * F.least(n, m).cast("long")) >= (percent * F.greatest(n, m).cast("long"))
 
@@ -183,10 +246,10 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, doc_id: str = "doc
     themselves.
 
     Equal sets become one node first. Sets that agree on a signature are
-    candidates: within a signature each set is paired with the smallest one
-    only, and the pairs are verified on whole sets. Where a signature then
-    still spans several components, its sets of different components are
-    paired and verified too, so no link between components is missed.
+    candidates: within a signature each set is paired with a central one only,
+    and the pairs are verified on whole sets. Where a signature then still
+    spans several components, its sets are compared across components too, in
+    blocks of bounded size, so no link between components is missed.
     """
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t"))
     rows = stage(_digests(texts, k), "digests")
@@ -201,9 +264,12 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, doc_id: str = "doc
     )
     members = stage(shared_, "members")
 
-    star = members.join(members.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("f")), "sig")
-    pairs = star.where("node <> f.node").where(_near(percent, "n", "f.n")).select(F.col("f.node").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = stage(pairs, "pairs")
+    # The member that shares most stands in the middle of its group, and mostly of its neighbours' groups too.
+    sized = members.join(members.groupBy("sig").agg(F.count("*").alias("c")), "sig")
+    weighed = sized.join(sized.groupBy("node").agg(F.sum("c").alias("w")), "node")
+    pivots = stage(weighed.groupBy("sig").agg(F.max(F.struct("w", "node", "n")).alias("f")), "pivots")
+    star = members.join(pivots, "sig").where("node <> f.node").where(_near(percent, "n", "f.n"))
+    pairs = stage(star.select(F.col("f.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
 
     sets_ = _whole(texts, rows, members.select("node").distinct(), k)
     links = stage(_linked(pairs, sets_, percent), "links")
@@ -211,24 +277,27 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, doc_id: str = "doc
     # Rows that share an id tie their sets together.
     tied = same.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("hi")).where("u <> hi").select("doc_id", "u")
     ties = stage(same.join(tied, "doc_id").where("node <> u").select("u", F.col("node").alias("v")).distinct(), "ties")
-    roots = components(links.unionByName(ties))
+    links = links.unionByName(ties)
+    roots = components(links)
 
     rooted = members.join(roots, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root"))
     spans = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-    left = stage(rooted.join(spans, "sig", "left_semi"), "open")
-    other = left.select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("r"))
-    more = (
+    left = rooted.join(spans, "sig", "left_semi").join(pivots, "sig")
+    home = left.groupBy("node").agg(F.max("f").alias("home"))
+    left = stage(left.join(home, "node").select("sig", "node", "n", "root", F.col("home.node").alias("home")), "open")
+    # Sets with the same home are compared in blocks, the few others by pairs.
+    other = left.select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("r"), F.col("home").alias("away"))
+    apart = (
         left.withColumnRenamed("node", "a")
         .join(other, "sig")
-        .where("a < b and root <> r")
+        .where("a < b and root <> r and home <> away")
         .where(_near(percent, "n", "m"))
         .select("a", "b")
         .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
     )
-    found = stage(_linked(more, sets_, percent), "links")
+    found = stage(_linked(apart, sets_, percent).unionByName(_within(left, sets_, percent)), "links")
     if not found.isEmpty():
-        roots = components(links.unionByName(ties).unionByName(found))
+        roots = components(links.unionByName(found))
 
     # Smallest doc_id of each set, then of each component.
     least = same.groupBy("node").agg(F.min("doc_id").alias("d"))
@@ -262,3 +331,21 @@ def _named(rows: DataFrame, same: DataFrame, named: DataFrame, settled: dict[int
     b = rows.where(known & ~frequent_).join(every, "node", "left").select(*out)
     c = rows.where(~known).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return a.unionByName(b).unionByName(c)
+
+
+def representatives(docs: DataFrame, k: int = K, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one document of each component of join(), that with the smallest id; all columns stay.
+
+    Documents without words or without an id stay. Of rows that share the id
+    that stays one does; which one, the hash of the text decides.
+    """
+    groups = join(docs, k, percent, doc_id, text)
+    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    twice = groups.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
+    twice = stage(twice, "twice")
+    once = left.join(twice, F.col(doc_id) == F.col("_twice"), "left_anti")
+    again = left.join(twice, F.col(doc_id) == F.col("_twice"), "left_semi")
+    again = again.select(F.struct(*docs.columns).alias("_r"), F.col(doc_id).alias("_d"), F.col(text).alias("_t"))
+    first = again.withColumn("_n", F.row_number().over(Window.partitionBy("_d").orderBy(F.xxhash64("_t"), "_t"))).where("_n = 1").select("_r.*")
+    return once.unionByName(first)
