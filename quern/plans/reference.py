@@ -1,4 +1,4 @@
-"""Named queries over the driver's tables, each with its SQL oracle."""
+"""Named queries over the driver's tables, each with its SQL oracle where SQL can express it."""
 
 from __future__ import annotations
 
@@ -8,26 +8,275 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as fx
+from quern.operators import forms, relational, reversi
+from quern.sources import listings
+
+#: Query strings, bands and offsets of the queries below.
+TYPED, ITEMS = "re", 8
+BANDS = (("debt", -1000.0, 1000.0), ("low", 0.0, 2500.0), ("middle", 2000.0, 4000.0), ("high", 6000.0, 4000.0))
+OFFSETS = ((-500.0, "a"), (0.0, "b"), (1000.0, "c"), (4000.0, "d"), (4000.0, "e"), (9000.0, "f"))
+SECTIONS = (("intro", 0.0), ("work", 3000.0), ("about", 1500.0))
+RETURN_WEIGHTS = (("R", "F", 3), ("A", "F", 2), ("N", "F", 1), ("N", "O", -2))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as posts: place, id, title, content and tags."""
+    d = _table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("pos"), F.col("doc_id").alias("id"), F.col("text").alias("content"), F.array("lang", "source").alias("tags"))
+
+
+def _values(spark: SparkSession, rows: tuple, names: str) -> DataFrame:
+    text = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x}D" if isinstance(x, float) else str(x) for x in r) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {text} AS t({names})")
+
+
 def read_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = fx.word_count(fx.strip_tags(F.col("text"))).cast("long")
-    return _table(spark, sf_dir, "documents").select(
-        "doc_id", words.alias("words"), fx.read_minutes(words).alias("read_min")
+    return _table(spark, sf_dir, "documents").select("doc_id", words.alias("words")).select("doc_id", "words", fx.read_minutes(F.col("words")).alias("read_min"))
+
+
+def page_read_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = fx.word_count(fx.strip_tags(F.col("html"))).cast("long")
+    return _table(spark, sf_dir, "pages").select("page_id", words.alias("words")).select("page_id", "words", fx.read_minutes(F.col("words")).alias("read_min"))
+
+
+def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = fx.html_escape(F.col("html"))
+    return _table(spark, sf_dir, "pages").select("page_id", F.md5(e).alias("escaped_md5"), F.length(e).cast("long").alias("escaped_chars"))
+
+
+def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.first_match(_posts(spark, sf_dir), F.col("id") == 42, "pos").select("id", F.length("content").cast("long").alias("chars"))
+
+
+def hash_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts = _posts(spark, sf_dir)
+    n = F.col("e.event_id")
+    odd = F.when(n % 7 == 0, F.lit("#top")).when(n % 11 == 0, F.concat(F.lit("#post-"), n, F.lit("x"))).otherwise(F.concat(F.lit("#post-"), n))
+    hashes = _table(spark, sf_dir, "events").alias("e").select(odd.alias("hash")).distinct()
+    return relational.route(posts, hashes)
+
+
+def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.tag_counts(_posts(spark, sf_dir), "pos")
+
+
+def tag_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.with_tag(_posts(spark, sf_dir), "fr").select("id")
+
+
+def tag_filter_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.with_tag(_posts(spark, sf_dir), None).select("id")
+
+
+def class_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _table(spark, sf_dir, "part").select("p_partkey", F.split(F.lower("p_type"), " ").alias("classes"))
+    return relational.with_class(parts, ".steel").select("p_partkey")
+
+
+def head_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.head_flag(_posts(spark, sf_dir), "pos").select("id", F.slice("tags", 1, 2).getItem(0).alias("first_tag"), "is_featured")
+
+
+def post_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.count_label(_posts(spark, sf_dir))
+
+
+def blank_to_nbsp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _table(spark, sf_dir, "customer")
+    raw = F.when(F.col("c_custkey") % 5 == 0, F.lit(" ")).when(F.col("c_custkey") % 5 == 1, F.lit("")).when(F.col("c_custkey") % 5 == 2, F.lit("  ")).otherwise(F.nullif("c_mktsegment", F.lit("BUILDING")))
+    return c.select("c_custkey", fx.blank_cell(raw).alias("cell"))
+
+
+def struct_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint").alias("p"))
+    return e.select("event_id", "p.*")
+
+
+def weighted_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = _values(spark, RETURN_WEIGHTS, "l_returnflag, l_linestatus, w")
+    lines = _table(spark, sf_dir, "lineitem").select("l_suppkey", "l_returnflag", "l_linestatus", "l_quantity")
+    mine, theirs = F.col("l_quantity") >= 25, F.col("l_quantity") < 25
+    out = relational.weighted_difference(lines, weights, ["l_suppkey"], ["l_returnflag", "l_linestatus"], mine, theirs)
+    return out.select("l_suppkey", F.col("score").cast("long").alias("score"))
+
+
+def argmax_tie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.floor(F.col("o_totalprice") / 1000).alias("thousands"))
+    return relational.best_of(orders, ["o_custkey"], "thousands", "o_orderkey", above=-10)
+
+
+def typeahead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.typeahead(_table(spark, sf_dir, "part").select("p_partkey", "p_name"), TYPED, "p_name", "p_partkey", ITEMS)
+
+
+def highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select("p_partkey", fx.highlight(F.col("p_name"), TYPED).alias("html"))
+
+
+def interval_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bands = _values(spark, BANDS, "name, top, height")
+    return relational.interval_lookup(_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), bands, "c_acctbal")
+
+
+def asof_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.asof_lookup(_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), OFFSETS, "c_acctbal")
+
+
+def last_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.last_section(_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), SECTIONS, "c_acctbal", 100.0)
+
+
+def section_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = _table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("page#"), F.col("c_nationkey").cast("string")).alias("href"))
+    nations = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("n_key"), "n_name")
+    return relational.lookup(links, nations, "href", "n_key").select("c_custkey", "n_name")
+
+
+def form_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    form = c.select(
+        "c_custkey",
+        F.when(k % 4 == 0, F.lit("")).otherwise(F.col("c_name")).alias("name"),
+        F.concat(F.lit("user"), k.cast("string"), F.when(k % 3 == 0, F.lit(" at x")).otherwise(F.lit("@example.com"))).alias("email"),
+        F.when(k % 5 == 0, F.lit("12a")).otherwise(k.cast("string")).alias("zipcode"),
+        F.when(k % 6 == 0, F.lit("2020-02-31")).otherwise(F.lit("2020-02-28")).alias("birthday"),
+        F.lit("secret").alias("password"),
+        F.when(k % 7 == 0, F.lit("other")).otherwise(F.lit("secret")).alias("confirm"),
+        F.when(k % 10 != 9, k % 10 != 3).alias("accepted"),
     )
+    rules = {
+        "name": forms.required(F.col("name")),
+        "email": forms.is_email(F.col("email")),
+        "zipcode": forms.is_number(F.col("zipcode")),
+        "birthday": forms.is_date(F.col("birthday")),
+        "password": forms.same(F.col("password"), F.col("confirm")),
+        "terms": forms.accepted(F.col("accepted")),
+    }
+    return forms.check(form, rules).select("c_custkey", "errors", "valid")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"read_time": read_time}
+def xml_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers by nation as listing documents, some of them damaged, read back."""
+    s = _table(spark, sf_dir, "supplier")
+    tag = lambda n, c: F.concat(F.lit(f"<{n}>"), c, F.lit(f"</{n}>"))
+    key = F.col("s_suppkey").cast("string")
+    location = tag("Location", F.concat(*(tag(n, F.when(F.lit(n == "Zip"), F.lpad(key, 5, "0")).otherwise(F.lit(" "))) for n in listings.LOCATION)))
+    details = tag("ListingDetails", F.concat(tag("Status", F.lit("Active")), tag("Price", key), F.lit("<ListingUrl/>"), tag("Image", fx.html_escape(F.col("s_name")))))
+    one = s.select("s_nationkey", F.struct("s_suppkey", tag("Listing", F.concat(location, details)).alias("x")).alias("l"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda l: l["x"]), "\n")
+    end = F.when(F.col("s_nationkey") % 5 == 3, F.lit("</Listings>junk")).when(F.col("s_nationkey") % 5 == 4, F.lit("")).otherwise(F.lit("</Listings>"))
+    docs = one.groupBy("s_nationkey").agg(body.alias("b")).select("s_nationkey", F.concat(F.lit("<Listings>"), "b", end).alias("xml"))
+    out = listings.parse(docs)
+    return listings.row_html(listings.flatten(out)).select("s_nationkey", F.col("pos").cast("long").alias("pos"), "Zip", "Price", "Image", "html")
 
-ORACLES: dict[str, str] = {
-    "read_time": r"""
+
+def board_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boards made from customers: the opening position, with some cells by account balance."""
+    c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("board_id"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("k"))
+    start = F.when(F.col("k").isin(27, 36), "O").when(F.col("k").isin(28, 35), "X")
+    noise = F.pmod(F.col("board_id") * 31 + F.col("k") * 17, F.lit(7))
+    other = F.when(noise == 0, "X").when(noise == 1, "O").otherwise("*")
+    player = F.when(F.col("board_id") % 2 == 0, "X").otherwise("O")
+    cells = c.select("board_id", player.alias("player"), F.expr("k div 8").cast("int").alias("i"), (F.col("k") % 8).alias("j"), F.coalesce(start, other).alias("cell"))
+    return reversi.greedy(cells)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        read_time, page_read_time, html_escape, point_lookup, hash_route, tag_counts, tag_filter, tag_filter_all, class_filter, head_tail, post_count,
+        blank_to_nbsp, struct_flatten, weighted_diff, argmax_tie, typeahead, highlight, interval_lookup, asof_lookup, last_section, section_lookup,
+        form_validate, xml_listings, board_greedy,
+    )
+}
+
+
+def _rows(rows: tuple) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
+def _read_time(table: str, key: str, text: str) -> str:
+    return rf"""
 WITH d AS (
-  SELECT doc_id, len(regexp_split_to_array(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]+>', ' ', 'g'),
-         '^\s+|\s+$', '', 'g'), '\s+'))::BIGINT AS words FROM documents)
-SELECT doc_id, words, greatest(1, floor(words / 220.0 + 0.5))::BIGINT AS read_min FROM d
+  SELECT {key}, len(regexp_split_to_array(regexp_replace(regexp_replace(coalesce({text}, ''), '<[^>]+>', ' ', 'g'),
+         '^\s+|\s+$', '', 'g'), '\s+'))::BIGINT AS words FROM {table})
+SELECT {key}, words, greatest(1, floor(words / 220.0 + 0.5))::BIGINT AS read_min FROM d
+"""
+
+
+_ESCAPED = "replace(replace(replace(replace(coalesce(html, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+ORACLES: dict[str, str] = {
+    "read_time": _read_time("documents", "doc_id", "text"),
+    "page_read_time": _read_time("pages", "page_id", "html"),
+    "html_escape": f"SELECT page_id, md5({_ESCAPED}) AS escaped_md5, length({_ESCAPED})::BIGINT AS escaped_chars FROM pages",
+    "point_lookup": "SELECT doc_id AS id, length(text)::BIGINT AS chars FROM documents WHERE doc_id = 42 ORDER BY doc_id LIMIT 1",
+    "hash_route": r"""
+WITH h AS (
+  SELECT DISTINCT CASE WHEN event_id % 7 = 0 THEN '#top' WHEN event_id % 11 = 0 THEN '#post-' || event_id || 'x' ELSE '#post-' || event_id END AS hash FROM events
+), x AS (SELECT hash, TRY_CAST(nullif(regexp_extract(hash, '^#post-(\d+)$', 1), '') AS BIGINT) AS post_id FROM h),
+p AS (SELECT doc_id, min(doc_id) AS post_pos FROM documents GROUP BY doc_id)
+SELECT hash, post_id, post_pos, post_pos IS NULL AS is_listing FROM x LEFT JOIN p ON post_id = doc_id
+""",
+    "tag_counts": """
+WITH t AS (SELECT doc_id, unnest([lang, source]) AS tag, unnest([0, 1]) AS tag_pos FROM documents),
+n AS (SELECT tag, count(*) AS n, min((doc_id, tag_pos)) AS first_seen FROM t GROUP BY tag)
+SELECT tag, n, row_number() OVER (ORDER BY n DESC, first_seen) AS rank FROM n
+""",
+    "tag_filter": "SELECT doc_id AS id FROM documents WHERE list_contains([lang, source], 'fr')",
+    "tag_filter_all": "SELECT doc_id AS id FROM documents",
+    "class_filter": "SELECT p_partkey FROM part WHERE list_contains(string_split(lower(p_type), ' '), 'steel')",
+    "head_tail": "SELECT doc_id AS id, lang AS first_tag, doc_id = (SELECT min(doc_id) FROM documents) AS is_featured FROM documents",
+    "post_count": "SELECT count(*) AS n, count(*) || ' post' || CASE WHEN count(*) <> 1 THEN 's' ELSE '' END AS label FROM documents",
+    "blank_to_nbsp": """
+WITH c AS (
+  SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN ' ' WHEN 1 THEN '' WHEN 2 THEN '  ' ELSE nullif(c_mktsegment, 'BUILDING') END AS raw FROM customer)
+SELECT c_custkey, CASE WHEN raw IS NULL OR raw IN ('', ' ') THEN '&nbsp;' ELSE raw END AS cell FROM c
+""",
+    "struct_flatten": "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
+    "weighted_diff": f"""
+WITH w(f, s, w) AS (VALUES {_rows(RETURN_WEIGHTS)})
+SELECT l_suppkey, (coalesce(sum(w) FILTER (l_quantity >= 25), 0) - coalesce(sum(w) FILTER (l_quantity < 25), 0))::BIGINT AS score
+FROM lineitem JOIN w ON l_returnflag = f AND l_linestatus = s GROUP BY l_suppkey
+""",
+    "argmax_tie": """
+WITH o AS (SELECT o_custkey, o_orderkey, floor(o_totalprice / 1000)::BIGINT AS thousands FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY thousands DESC, o_orderkey) AS n FROM o WHERE thousands > -10)
+SELECT o_custkey, thousands, o_orderkey FROM r WHERE n = 1
+""",
+    "typeahead": f"""
+WITH m AS (
+  SELECT p_partkey, p_name, CASE WHEN instr(lower(p_name), '{TYPED}') = 1 THEN 0 WHEN instr(p_name, '{TYPED}') > 0 THEN 1 ELSE 2 END AS c
+  FROM part WHERE instr(lower(p_name), '{TYPED}') > 0
+), r AS (SELECT *, row_number() OVER (ORDER BY c, p_partkey) AS rank FROM m)
+SELECT p_partkey, p_name, regexp_replace(p_name, '({TYPED})', '<strong>\\1</strong>', 'gi') AS html, rank FROM r WHERE rank <= {ITEMS}
+""",
+    "highlight": f"SELECT p_partkey, regexp_replace(p_name, '({TYPED})', '<strong>\\1</strong>', 'gi') AS html FROM part",
+    "interval_lookup": f"""
+WITH b(name, top, height) AS (VALUES {_rows(BANDS)})
+SELECT c_custkey, c_acctbal, name AS band FROM customer JOIN b ON c_acctbal >= top AND c_acctbal < top + height
+""",
+    "asof_lookup": f"""
+WITH o AS (SELECT *, row_number() OVER () AS n FROM (VALUES {_rows(OFFSETS)}) AS t(o, t))
+SELECT c_custkey, c_acctbal, (SELECT arg_max(t, (o, n)) FROM o WHERE o <= c_acctbal) AS target FROM customer
+""",
+    "last_section": f"""
+WITH s AS (SELECT *, row_number() OVER () AS n FROM (VALUES {_rows(SECTIONS)}) AS t(name, p))
+SELECT c_custkey, c_acctbal, (SELECT arg_max(name, n) FROM s WHERE p - 100.0 < c_acctbal) AS section FROM customer
+""",
+    "section_lookup": "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey",
+    "form_validate": """
+WITH k AS (SELECT c_custkey AS k, c_name FROM customer),
+e AS (
+  SELECT k, concat_ws(',', CASE WHEN k % 4 = 0 OR coalesce(c_name, '') = '' THEN 'name' END, CASE WHEN k % 3 = 0 THEN 'email' END,
+    CASE WHEN k % 5 = 0 THEN 'zipcode' END, CASE WHEN k % 6 = 0 THEN 'birthday' END, CASE WHEN k % 7 = 0 THEN 'password' END,
+    CASE WHEN k % 10 IN (3, 9) THEN 'terms' END) AS errors FROM k)
+SELECT k AS c_custkey, errors, errors = '' AS valid FROM e
 """,
 }
