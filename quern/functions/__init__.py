@@ -1 +1 @@
-
+"""Functions, Column to Column."""

@@ -38,24 +38,18 @@ def moves(cells: DataFrame) -> DataFrame:
     d = d.withColumn("k", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.substring("b", k + 1, F.lit(1)) == "*")))
     d = d.withColumns({"i": F.expr("k div 8").cast("int"), "j": F.col("k") % 8})
 
-    def flips(di: int, dj: int):
-        ray = F.array_join(
-            F.transform(
-                F.sequence(F.lit(1), F.lit(7)),
-                lambda s: F.when(
-                    (F.col("i") + s * di).between(0, 7) & (F.col("j") + s * dj).between(0, 7),
-                    F.substring("b", (F.col("i") + s * di) * 8 + F.col("j") + s * dj + 1, F.lit(1)),
-                ).otherwise("*"),
-            ),
-            "",
-        )
-        run = F.length(F.regexp_extract(ray, "^(?:(O+)X|(X+)O)", 0)) - 1
-        ours = F.substring(ray, F.lit(1), F.lit(1)) == F.col("opp")
-        n = F.when(ours & (run > 0), run).otherwise(0)
-        return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda s: (F.col("i") + s * di) * 8 + F.col("j") + s * dj)).otherwise(F.array().cast("array<int>"))
-
-    around = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
-    d = d.withColumn("flipped", F.array_sort(F.flatten(F.array(*(flips(a, b) for a, b in around))))).where(F.size("flipped") > 0)
+    around = F.array(*(F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b))
+    d = d.withColumn("way", F.explode(around))
+    row, column = lambda s: F.col("i") + s * F.col("way.di"), lambda s: F.col("j") + s * F.col("way.dj")
+    seen = F.transform(
+        F.sequence(F.lit(1), F.lit(7)),
+        lambda s: F.when(row(s).between(0, 7) & column(s).between(0, 7), F.substring("b", row(s) * 8 + column(s) + 1, F.lit(1))).otherwise("*"),
+    )
+    d = d.withColumn("ray", F.array_join(seen, ""))
+    run = F.when(F.col("opp") == "O", F.regexp_extract("ray", "^(O+)X", 1)).otherwise(F.regexp_extract("ray", "^(X+)O", 1))
+    d = d.withColumn("s", F.explode(F.filter(F.sequence(F.lit(1), F.lit(7)), lambda s: s <= F.length(run))))
+    turned = F.array_sort(F.collect_list((row(F.col("s")) * 8 + column(F.col("s"))).cast("int")))
+    d = d.groupBy("board_id", "player", "opp", "b", "i", "j", "k").agg(turned.alias("flipped"))
     after = F.array_join(
         F.transform(
             F.sequence(F.lit(0), F.lit(63)),

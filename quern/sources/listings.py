@@ -48,9 +48,9 @@ def flatten(docs: DataFrame) -> DataFrame:
 
 
 def typed(rows: DataFrame) -> DataFrame:
-    """Adds lat, long and price as numbers, null where the text is none."""
+    """Adds latitude, longitude and amount as numbers, null where the text is none."""
     number = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    return rows.withColumns({"lat": number("Lat").try_cast("double"), "lon": number("Long").try_cast("double"), "price": number("Price").try_cast("decimal(12,0)")})
+    return rows.withColumns({"latitude": number("Lat").try_cast("double"), "longitude": number("Long").try_cast("double"), "amount": number("Price").try_cast("decimal(12,0)")})
 
 
 def _link(url: Column) -> Column:

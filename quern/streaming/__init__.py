@@ -1 +1 @@
-
+"""Reserved: nothing that the library reproduces is a stream."""
