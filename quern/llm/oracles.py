@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import chat_format, license_scan
+from quern.llm import chat_format, license_scan, substring_dedup
 from quern.llm.quality_rules import STOP_WORDS
 
 _STOPS = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
@@ -83,6 +83,24 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
        last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
        coalesce(score, 0.0)::DOUBLE AS score
 FROM d LEFT JOIN a USING (r)
+""",
+    "op5_substring_dedup": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), u AS (
+  SELECT r, doc_id, unnest(l) AS u, unnest(range(len(l))) AS unit FROM d
+), o AS (
+  SELECT *, length(u) AS length, (sum(length(u) + 1) OVER (PARTITION BY r ORDER BY unit))::BIGINT - length(u) - 1 AS start,
+         regexp_extract_all(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM u
+), k AS (
+  SELECT *, array_to_string(w, ' ') AS key FROM o WHERE len(w) >= {substring_dedup.WORDS}
+), f AS (
+  SELECT *, row_number() OVER g AS n, first_value(doc_id) OVER g AS keep_doc_id, first_value(unit) OVER g AS keep_unit,
+         first_value(start) OVER g AS keep_start
+  FROM k WINDOW g AS (PARTITION BY key ORDER BY doc_id NULLS LAST, unit, r)
+)
+SELECT doc_id, unit, start, length::BIGINT AS length, keep_doc_id, keep_unit, keep_start FROM f WHERE n > 1
 """,
     "op6_warc": """
 WITH p AS (SELECT row_number() OVER () AS r, page_id, octet_length(encode(coalesce(html, ''))) AS b, sha256(coalesce(html, '')) AS d FROM pages),

@@ -18,8 +18,8 @@ def units(docs: DataFrame, unit: str = "line", words: int = WORDS, doc_id: str =
     """doc_id, unit, start, length, digest of each unit of at least `words` words.
 
     start and length count code points of the original text, from 0. The
-    digest is that of the unit in lower case, with white space at its ends cut
-    and runs of it made one blank.
+    digest is that of the unit with A-Z in lower case, ASCII white space at
+    its ends cut and runs of it made one blank.
     """
     separator = SEPARATORS[unit]
 
@@ -35,13 +35,13 @@ def units(docs: DataFrame, unit: str = "line", words: int = WORDS, doc_id: str =
                     at = 0
                     for n, u in enumerate(t.split(separator)):
                         if 2 * words <= len(u) + 1:
-                            w = u.lower().split()
+                            w = u.encode().lower().split()  # of bytes, so by ASCII
                             if len(w) >= words:
                                 of.append(i)
                                 number.append(n)
                                 starts.append(at)
                                 lengths.append(len(u))
-                                digests.append(xxhash.xxh3_128_hexdigest(" ".join(w)))
+                                digests.append(xxhash.xxh3_128_hexdigest(b" ".join(w)))
                         at += len(u) + len(separator)
                 longs = [pa.array(x, pa.int64()) for x in (number, starts, lengths)]
                 yield pa.RecordBatch.from_arrays(

@@ -15,7 +15,7 @@ def brute(rows, separator, words):
         d, text = rows[i]
         at, left = 0, []
         for n, u in enumerate((text or "").split(separator)):
-            key = " ".join(u.lower().split())
+            key = b" ".join(u.encode().lower().split())
             if len(key.split()) >= words and key in seen:
                 cut.append((d, n, at, len(u), *seen[key]))
             else:
@@ -30,7 +30,7 @@ def brute(rows, separator, words):
 def rows_of(seed):
     rng = random.Random(seed)
     pool = [" ".join(rng.choice(["á", "b", "C", "dd"]) for _ in range(rng.choice([2, 5, 9, 40]))) for _ in range(30)]
-    pool += ["", " ", "x " * 9, "X  x\tx x x x x x X"]
+    pool += ["", " ", "x " * 9, "X  x\tx x x x x x X", "É É É É É É", "é é é é é é", "\u2003a\u2003 b c d e f", "a b c d e f"]
     rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(12)))) for i in range(60)]
     rows += [(100 + i, pool[3] + " and more of it to be long\nown line of document " + str(i)) for i in range(90)]
     rows += [(300, None), (301, ""), (None, pool[5] + "\n" + pool[6]), (302, "long line " * 20_000 + "\nend"), (303, "a b c d e f g h i j\n\na b c d e f g h i j")]
