@@ -14,9 +14,10 @@ from quern.llm.shared import stage
 
 #: Hash buckets of words, and labelled rows that the classifier is fitted to at most.
 BUCKETS, SAMPLE = 1 << 16, 20_000
-#: Added to each count, so that unseen words say little.
-SMOOTH = 0.5
-ROUNDS, CLOSE = 60, 1e-6
+#: Deviations that make a bucket a feature, and what is added to counts so that few texts say little.
+SIGNIFICANT, SMOOTH = 5.0, 5.0
+#: Steps at most, the excess at which targets count as met, and the share of the last error at which they are out of reach.
+ROUNDS, CLOSE, STALL = 30, 1e-4, 0.99
 
 
 class Fit(NamedTuple):
@@ -39,27 +40,28 @@ def classifier(
 ) -> tuple[DataFrame, list[float]]:
     """Log likelihood of each word bucket in each domain, and the log prior of each domain.
 
-    A multinomial model of hashed words, fitted to the texts of at most
-    `sample` rows of labelled (doc_id, domain), those with the smallest hash
-    of their id. The table has a row for each bucket, so its size is bounded.
+    A Bayes model of the words that a text has, however often, in hash
+    buckets. It is fitted to the texts of at most `sample` rows of labelled
+    (doc_id, domain), those with the smallest hash of their id. Only buckets
+    that some domain has SIGNIFICANT standard deviations more or less often
+    than all do are in the table, so the many rare words add no noise to long
+    texts. The table has a row per bucket at most, so its size is bounded.
     """
     known = labelled.select(F.col("doc_id").alias("_id"), F.col("domain").alias("_d")).where(F.col("_d").isin(list(domains)) & F.col("_id").isNotNull())
     chosen = known.orderBy(F.xxhash64("_id"), "_id", "_d").limit(sample)
-    words = (
-        docs.select(F.col(doc_id).alias("_id"), _words(text).alias("_w"))
-        .join(F.broadcast(chosen), "_id")
-        .select("_d", F.explode("_w").alias("_w"))
-        .groupBy("_d", _bucket("_w", buckets).alias("bucket"))
-        .count()
-    )
-    counts = stage(words, "counts")
-    total = {r["_d"]: r["n"] for r in counts.groupBy("_d").agg(F.sum("count").alias("n")).collect()}
+    texts = docs.select(F.col(doc_id).alias("_id"), F.array_distinct(_words(text)).alias("_w")).join(F.broadcast(chosen), "_id")
+    # Copies under one domain count once, or the words of a copied text would all seem to tell.
+    texts = texts.groupBy("_d", F.xxhash64(F.array_sort("_w")).alias("_k")).agg(F.first("_w").alias("_w"))
+    counts = stage(texts.select("_d", F.explode("_w").alias("_w")).groupBy("_d", _bucket("_w", buckets).alias("bucket")).count(), "counts")
+    total = {r["_d"]: float(r["n"]) for r in counts.groupBy("_d").agg(F.sum("count").alias("n")).collect()}
     of = {r["_d"]: r["count"] for r in chosen.groupBy("_d").count().collect()}
-    rows = sum(of.values())
-    prior = [math.log((of.get(d, 0) + 1) / (rows + len(domains))) for d in domains]
-    logs = [F.log((F.coalesce(F.sum(F.when(F.col("_d") == d, F.col("count"))), F.lit(0)) + SMOOTH) / (total.get(d, 0) + SMOOTH * buckets)) for d in domains]
-    table = counts.groupBy("bucket").agg(*(x.alias(f"l{k}") for k, x in enumerate(logs)))
-    return stage(table, "likelihood"), prior
+    prior = [math.log((of.get(d, 0) + 1) / (sum(of.values()) + len(domains))) for d in domains]
+    every = sum(total.values()) or 1.0
+    table = counts.groupBy("bucket").agg(F.sum("count").alias("n"), *(F.coalesce(F.sum(F.when(F.col("_d") == d, F.col("count"))), F.lit(0)).alias(f"c{k}") for k, d in enumerate(domains)))
+    expected = [F.col("n") * (total.get(d, 0.0) / every) for d in domains]
+    away = F.greatest(*(F.abs(F.col(f"c{k}") - e) / F.sqrt(e + 1) for k, e in enumerate(expected)), F.lit(0.0))
+    logs = [F.log((F.col(f"c{k}") + SMOOTH) / (e + SMOOTH)).alias(f"l{k}") for k, e in enumerate(expected)]
+    return stage(table.where(away >= SIGNIFICANT).select("bucket", *logs), "likelihood"), prior
 
 
 def posteriors(
@@ -78,12 +80,12 @@ def posteriors(
         F.col(source).alias("source"),
         F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit(""))).alias("key"),
         _words(text).alias("_w"),
-    )
-    each = d.select("_row", "doc_id", "source", "key", F.explode_outer("_w").alias("_w")).withColumn("bucket", F.when(F.col("_w").isNotNull(), _bucket("_w", buckets)))
+    ).select("_row", "doc_id", "source", "key", F.size("_w").cast("long").alias("tokens"), F.array_distinct("_w").alias("_w"))
+    each = d.select("_row", "doc_id", "source", "key", "tokens", F.explode_outer("_w").alias("_w")).withColumn("bucket", F.when(F.col("_w").isNotNull(), _bucket("_w", buckets)))
     sums = (
         each.join(F.broadcast(table), "bucket", "left")
-        .groupBy("_row", "doc_id", "source", "key")
-        .agg(F.count("_w").alias("tokens"), *(F.sum(F.coalesce(F.col(f"l{k}"), F.lit(0.0))).alias(f"s{k}") for k in range(n)))
+        .groupBy("_row", "doc_id", "source", "key", "tokens")
+        .agg(*(F.sum(F.coalesce(F.col(f"l{k}"), F.lit(0.0))).alias(f"s{k}") for k in range(n)))
     )
     scores = [F.col(f"s{k}") + p for k, p in enumerate(prior)]
     top = F.greatest(*scores) if n > 1 else scores[0]
@@ -116,7 +118,8 @@ def fit(scored: DataFrame, targets: Sequence[float], rounds: int = ROUNDS, close
     1: each row of the scaled normal matrix sums to 1. So steps of length 1
     never overshoot, and the whole state is the short list of steps. Each
     round is one pass over ids, tokens and posteriors that brings back a
-    number per domain; rates are computed anew from the steps.
+    number per domain; rates are computed anew from the steps. Targets out of
+    reach are approached until steps gain nearly nothing.
     """
     n = len(targets)
     mass = scored.agg(*(F.sum(F.col("tokens") * F.get("p", F.lit(k))).alias(f"m{k}") for k in range(n)), F.sum("tokens").alias("t")).first()
@@ -124,10 +127,11 @@ def fit(scored: DataFrame, targets: Sequence[float], rounds: int = ROUNDS, close
     if not total:
         return Fit([], [0.0] * n)
     steps: list[list[float]] = []
-    sums = now
+    sums, error = now, math.inf
     for _ in range(rounds):
         excess = [s - t * total for s, t in zip(sums, targets, strict=True)]
-        if max(map(abs, excess)) <= close * total:
+        before, error = error, sum(e * e / m for e, m in zip(excess, now, strict=True) if m)
+        if max(map(abs, excess)) <= close * total or error > STALL * before:
             break
         steps.append([e / m if m else 0.0 for e, m in zip(excess, now, strict=True)])
         r = rate(steps, n)

@@ -13,7 +13,7 @@ from quern.llm.shared import stage
 
 SIZE, END = 2048, 1
 #: Chunks of text whose ids a worker remembers, and rows that it turns into Python objects at once.
-REMEMBERED, ROWS = 300_000, 64
+REMEMBERED, ROWS = 700_000, 64
 #: Longer chunks are seldom seen again and are not remembered.
 FREQUENT = 11
 #: Pieces that one numbering bucket gets on average.
@@ -56,7 +56,9 @@ class ChunkEncoder:
         (self.mark,) = self.whole.encode(self.MARK, add_special_tokens=False).ids
         self.ends = {c: self._alone(c) for c in ".,"}
         self.letters = _byte_letters()
+        # What is not asked for while one generation fills is forgotten with it.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _alone(self, chunk: str) -> bytes:
         import numpy as np
@@ -115,13 +117,15 @@ class ChunkEncoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [(t.lower() if _latin(t) else t).replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
+        if len(self.known) > REMEMBERED // 2:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
         # The chunks of these texts are few enough to stay in the processor's cache.
         look, new = {"": b""}, []
         for c in set().union(*split):
             ids = known.get(c)
+            if ids is None and (ids := older.get(c)) is not None:
+                known[c] = ids
             if ids is None:
                 new.append(c)
             else:

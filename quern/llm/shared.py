@@ -117,4 +117,4 @@ def ascii_lower(text: Column) -> Column:
     another letter first, so no ASCII word can arise from them. Other letters
     beyond ASCII may change case, but stay beyond ASCII.
     """
-    return F.lower(F.replace(F.replace(text, F.lit("K"), F.lit("é")), F.lit("İ"), F.lit("é")))
+    return F.lower(F.replace(F.replace(text, F.lit("\u212a"), F.lit("\u00e9")), F.lit("\u0130"), F.lit("\u00e9")))

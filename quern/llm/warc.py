@@ -16,7 +16,7 @@ from quern.llm.shared import choose, new_path, stage
 #: Payloads of fewer bytes are never revisits.
 LEAST = 100
 #: Bytes of payload in a shard, and compressed bytes at which a shard goes on in the next file.
-SHARD, ROLL = 64 << 20, 16 << 20
+SHARD, ROLL = 32 << 20, 16 << 20
 #: Most shards; beyond them shards grow.
 SHARDS = 1 << 16
 #: All records carry this date, as the tables have none.
@@ -142,8 +142,8 @@ def write(pages: DataFrame, path: str, shard: int = SHARD, roll: int = ROLL, pag
     )
     fields = f"page_id {kind}, url string, html string, digest string, refers_to {kind}"
     sharded = rows.select("page_id", "url", "html", "digest", "refers_to").unionByName(markers).mapInArrow(placed, fields + ", shard long")
-    n = max(1, min(len(cuts) + 1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    ordered = sharded.repartition(n, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", F.col("html").isNotNull(), "html", "url")
+    # A task for each shard.
+    ordered = sharded.repartitionById(len(cuts) + 1, F.col("shard").cast("int")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", F.col("html").isNotNull(), "html", "url")
 
     def written(batches: Iterator) -> Iterator:
         import hashlib

@@ -51,7 +51,7 @@ def test_near(kept):
 
 def test_mixed(spark, kept):
     before, after = kept[3]
-    copies = {r.doc_id: r.copies for r in mixing.mix(before, queries.labelled(spark, SF), queries.TARGETS).collect()}
+    copies = {r.doc_id: r.copies for r in mixing.mix(before, queries.labelled(spark, SF), corpus_pipeline.TARGETS).collect()}
     assert Counter(d for d, _ in rows(after)) == +Counter(copies)
 
 
