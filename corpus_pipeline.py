@@ -12,6 +12,10 @@ from quern.llm import exact_dedup, jaccard_join, mixing, packing, quality_rules,
 from quern.llm.shared import stage
 
 
+#: Shares of all tokens that the mixture is to have. The quality rules leave nothing of the low domain to weigh.
+TARGETS = {"clean": 0.97, "toxic": 0.03}
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that no quality rule rejects."""
     return quality_rules.keep(docs)
@@ -29,7 +33,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its fitted rate says, so that domains have their target shares."""
-    return mixing.resample(docs, queries.labelled(spark, sf_dir), queries.TARGETS)
+    return mixing.resample(docs, queries.labelled(spark, sf_dir), TARGETS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
