@@ -14,6 +14,8 @@ from quern.llm.shared import stage
 
 #: Shares of all tokens that the mixture is to have. The quality rules leave nothing of the low domain to weigh.
 TARGETS = {"clean": 0.97, "toxic": 0.03}
+#: Words of a shingle and least similarity in hundredths for near-duplicates here; op7's query has its own.
+NEAR_K, NEAR_PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest id."""
-    return jaccard_join.representatives(docs)
+    return jaccard_join.representatives(docs, k=NEAR_K, percent=NEAR_PERCENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

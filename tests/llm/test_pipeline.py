@@ -49,6 +49,17 @@ def test_near(kept):
     assert len(rows(after)) < len(groups)
 
 
+def test_near_takes_five_words_and_eighty_hundredths(spark):
+    base = [f"w{i}" for i in range(100)]
+    docs = [(1, " ".join(base))]
+    # Two words apart: 86 of 106 shingles of five words are shared, but 89 of 105 of four.
+    docs += [(2, " ".join("x" if i in (30, 60) else w for i, w in enumerate(base)))]
+    docs += [(3, " ".join("y" if i in (20, 45, 70) else w for i, w in enumerate(base))), (4, "another text of its own")]
+    got = corpus_pipeline.near(spark, spark.createDataFrame(docs, "doc_id long, text string"), SF)
+    want = sorted(d for d, _, c in jaccard_components(docs, 5, 80) if c == d)
+    assert sorted(d for d, _ in rows(got)) == want == [1, 3, 4]
+
+
 def test_mixed(spark, kept):
     before, after = kept[3]
     copies = {r.doc_id: r.copies for r in mixing.mix(before, queries.labelled(spark, SF), corpus_pipeline.TARGETS).collect()}
