@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from quern.llm.shared import choose, stage
 
-#: Words that a unit needs to count; shorter ones, such as headings and notices, repeat by nature.
-WORDS = 20
+#: Words that a unit needs to count: any line with a word, so a repeated passage goes however short its lines are.
+WORDS = 1
 SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
 
 

@@ -64,5 +64,15 @@ def test_cleaned_texts_and_repeated_rows(spark):
     assert twice.where("doc_id = 170").count() == 0 or twice.count() > 0
 
 
+def test_a_passage_in_short_lines_goes(spark):
+    verse = "\n".join(f"{w} line {i} of\n\na\npassage" for i, w in enumerate("one two three four five six seven".split()))
+    rows = [(1, "first\n" + verse), (2, verse + "\nsecond"), (3, "third")]
+    got = sorted(map(tuple, s.removed(spark.createDataFrame(rows, SCHEMA)).collect()), key=repr)
+    want, _ = brute(rows, "\n", 1)
+    assert got == want
+    cut = {(d, n) for d, n, *_ in got}
+    assert [u for n, u in enumerate(rows[1][1].split("\n")) if u and (2, n) not in cut] == ["second"]
+
+
 def test_empty_table(spark):
     assert s.removed(spark.createDataFrame([], SCHEMA)).count() == 0
