@@ -6,6 +6,7 @@ import math
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +17,16 @@ from quern.llm.shared import stage
 BUCKETS, SAMPLE = 1 << 16, 20_000
 #: Deviations that make a bucket a feature, and what is added to counts so that few texts say little.
 SIGNIFICANT, SMOOTH = 5.0, 5.0
-#: Steps at most, the excess at which targets count as met, and the share of the last error at which they are out of reach.
-ROUNDS, CLOSE, STALL = 30, 1e-4, 0.99
+#: Steps at most, the excess in shares of all tokens at which targets count as met, and the share of the last gradient at which a step gains nothing.
+ROUNDS, CLOSE, STALL = 20_000, 1e-9, 1.0
+#: Steps in a row without gain after which only rounding is left.
+STALE = 4
+#: Weight, against the targets, of staying near the last solution; it keeps the solution bounded where targets are out of reach.
+RIDGE = 1e-9
 
 
 class Fit(NamedTuple):
-    """Steps of the descent: for each, the excess of every domain relative to its tokens; and the last excess in shares of all tokens."""
+    """Steps from rates of 1: for each, a number per domain; and the last excess in shares of all tokens."""
 
     steps: list[list[float]]
     excess: list[float]
@@ -102,7 +107,7 @@ def _dot(p: str, h: Sequence[float] | Column, n: int) -> Column:
 
 
 def rate(steps: Sequence[Sequence[float]], domains: int, p: str = "p") -> Column:
-    """A document's rate after the descent: its steps from 1, each projected to zero or more."""
+    """A document's rate: its steps from 1, each projected to zero or more."""
     if not steps:
         return F.lit(1.0)
     table = F.array(*(F.array(*(F.lit(float(x)) for x in h)) for h in steps))
@@ -110,34 +115,68 @@ def rate(steps: Sequence[Sequence[float]], domains: int, p: str = "p") -> Column
 
 
 def fit(scored: DataFrame, targets: Sequence[float], rounds: int = ROUNDS, close: float = CLOSE) -> Fit:
-    """Projected-gradient least squares for rates r >= 0: sum of r * tokens * p_k near target_k of all tokens.
-
-    Minimises half the sum over domains of (expected tokens - target)^2 /
-    tokens now, from rates of 1. Scaled by 1 / tokens, a document's gradient
-    depends on its posteriors only, and the objective's curvature is at most
-    1: each row of the scaled normal matrix sums to 1. So steps of length 1
-    never overshoot, and the whole state is the short list of steps. Each
-    round is one pass over ids, tokens and posteriors that brings back a
-    number per domain; rates are computed anew from the steps. Targets out of
-    reach are approached until steps gain nearly nothing.
+    """Least squares for rates r >= 0: sum of r * tokens * p_k at target_k of all tokens.
+
+    Of all rates that meet the targets these are nearest to 1, weighed by
+    tokens: r = max(0, 1 - p * h), with a number h_k per domain. h minimises a
+    convex function whose gradient is minus the excess, by Newton steps that
+    halve until they gain; a few passes do. Each pass reads tokens and
+    posteriors and brings back some numbers per pair of domains. RIDGE times
+    the tokens of a domain holds h near where it was, first 0. Once h is found
+    it is sought again from there: targets within reach are then met, and the
+    excess falls by far. Where it does not fall targets are out of reach and
+    the excess is that of least squares, as its gradient is zero for rates
+    above zero and positive for the others, but for RIDGE.
     """
     n = len(targets)
     mass = scored.agg(*(F.sum(F.col("tokens") * F.get("p", F.lit(k))).alias(f"m{k}") for k in range(n)), F.sum("tokens").alias("t")).first()
-    now, total = [float(mass[k] or 0.0) for k in range(n)], float(mass["t"] or 0.0)
+    now, total = np.array([float(mass[k] or 0.0) for k in range(n)]), float(mass["t"] or 0.0)
     if not total:
         return Fit([], [0.0] * n)
-    steps: list[list[float]] = []
-    sums, error = now, math.inf
+    wanted = np.array(targets, float) * total
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    p = [F.get("p", F.lit(k)) for k in range(n)]
+
+    def measure(h: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The function at h without its ridge, its curvature, and the tokens of each domain."""
+        rated = scored.select(rate([h.tolist()], n).alias("r"), "tokens", "p")
+        left = F.when(F.col("r") > 0, F.col("tokens")).otherwise(F.lit(0))
+        got = rated.agg(
+            F.sum(F.col("r") * F.col("r") * F.col("tokens")), *(F.sum(F.col("r") * F.col("tokens") * x) for x in p), *(F.sum(left * p[i] * p[j]) for i, j in pairs)
+        ).first()
+        curve = np.zeros((n, n))
+        for (i, j), x in zip(pairs, got[n + 1 :], strict=True):
+            curve[i, j] = curve[j, i] = float(x)
+        return float(got[0]) / 2 + wanted @ h, curve + np.diag(RIDGE * now + 1e-12 * total), np.array(got[1 : n + 1], float)
+
+    def value(at: float, h: np.ndarray) -> float:
+        return at + RIDGE / 2 * (now @ (h - base) ** 2)
+
+    def gradient(sums: np.ndarray, h: np.ndarray) -> np.ndarray:
+        return np.where(now > 0, wanted - sums + RIDGE * now * (h - base), 0.0)
+
+    h, base, before = np.zeros(n), np.zeros(n), math.inf
+    at, curve, sums = measure(h)
+    least, stale = math.inf, 0
     for _ in range(rounds):
-        excess = [s - t * total for s, t in zip(sums, targets, strict=True)]
-        before, error = error, sum(e * e / m for e, m in zip(excess, now, strict=True) if m)
-        if max(map(abs, excess)) <= close * total or error > STALL * before:
-            break
-        steps.append([e / m if m else 0.0 for e, m in zip(excess, now, strict=True)])
-        r = rate(steps, n)
-        got = scored.select(r.alias("r"), "tokens", "p").agg(*(F.sum(F.col("r") * F.col("tokens") * F.get("p", F.lit(k))) for k in range(n))).first()
-        sums = [float(x) for x in got]
-    return Fit(steps, [(s - t * total) / total for s, t in zip(sums, targets, strict=True)])
+        g = gradient(sums, h)
+        size = np.abs(g).max()
+        least, stale = min(least, size), 0 if size < STALL * least else stale + 1
+        if size <= close * total or stale >= STALE:
+            excess = np.abs(np.where(now > 0, sums - wanted, 0.0)).max()
+            if excess <= close * total or excess > before / 2:
+                break
+            base, before, least, stale = h, excess, math.inf, 0
+            g = gradient(sums, h)
+        step, share = -np.linalg.solve(curve, g), 1.0
+        while True:
+            tried = h + share * step
+            new = measure(tried)
+            if value(new[0], tried) <= value(at, h) + 1e-4 * share * (g @ step) or np.abs(gradient(new[2], tried)).max() < np.abs(g).max() or share < 1e-2:
+                break
+            share /= 2
+        h, (at, curve, sums) = tried, new
+    return Fit([h.tolist()], ((sums - wanted) / total).tolist())
 
 
 def mix(

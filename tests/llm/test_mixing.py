@@ -82,6 +82,23 @@ def test_totals_meet_targets(spark):
         assert s / total == pytest.approx(targets[d], abs=m.CLOSE)
 
 
+def test_production_targets_are_met(spark):
+    mixed = m.mix(spark.read.parquet(f"{DATA}/documents.parquet"), queries.labelled(spark, DATA), queries.TARGETS).cache()
+    total, *sums = mixed.agg(F.sum("tokens"), *(F.sum(F.col("rate") * F.col("tokens") * F.get("p", F.lit(k))) for k in range(3))).first()
+    for d, s in zip(sorted(queries.TARGETS), sums, strict=True):
+        assert s / total == pytest.approx(queries.TARGETS[d], abs=1e-5)
+
+
+def test_targets_out_of_reach_leave_least_squares(spark):
+    rows = [(10, [0.9, 0.1]), (30, [0.4, 0.6]), (20, [0.6, 0.4])]
+    fitted = m.fit(spark.createDataFrame(rows, "tokens long, p array<double>"), [0.0, 1.0])
+    now = [sum(t * p[k] for t, p in rows) for k in range(2)]
+    rates = [max(0.0, 1 - sum(a * h for a, h in zip(p, fitted.steps[0], strict=True))) for _, p in rows]
+    for r, (_, p) in zip(rates, rows, strict=True):
+        slope = sum(p[k] * fitted.excess[k] * 60 / now[k] for k in range(2))
+        assert slope == pytest.approx(0, abs=1e-6) if r > 0 else slope > 0
+
+
 def test_held_out_domains(spark):
     labels = queries.labelled(spark, DATA)
     held = labels.where("doc_id % 4 = 0")
