@@ -38,7 +38,8 @@ class ChunkEncoder:
     encoded together, set apart by a control character that is always a token
     of its own. A full stop or comma after a letter, lower-cased, is one too, so such chunks
     are made from two. Words of Latin-1 letters need no normalisation beyond
-    lower case and go to the merges directly. Lower case changes no ids.
+    lower case and go to the merges directly. Lower case changes no ids but
+    those of added tokens, so a text with "<|" keeps its case.
     """
 
     MARK = "\x01"
@@ -116,7 +117,7 @@ class ChunkEncoder:
             look[c] = look[c[:-1]] + self.ends[c[-1]]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [(t.lower() if _latin(t) else t).replace("\n", " ").split(" ") for t in texts]
+        split = [(t.lower() if "<|" not in t and _latin(t) else t).replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > REMEMBERED // 2:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older

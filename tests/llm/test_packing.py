@@ -29,6 +29,16 @@ def test_chunks_give_the_ids_of_the_whole(plain, texts):
         assert np.frombuffer(data, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(["<|ENDOFTEXT|>", "<|endoftext|>", "<|EndOfText|>", "<|StartOfText|>"]), st.text(alphabet="abAB.,<|> \né", max_size=8)), max_size=6))
+@example(["a <|ENDOFTEXT|> b"])
+@example(["A<|ENDOFTEXT|>B."])
+def test_added_tokens_in_other_case(plain, parts):
+    texts = [" ".join(parts), "".join(parts)]
+    for data, t in zip(p.encoder(VOCABULARY)(texts), texts, strict=True):
+        assert np.frombuffer(data, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
 def one_by_one(lengths, size):
     free: list[int] = []
     for n in sorted(lengths, reverse=True):
