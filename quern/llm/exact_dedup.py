@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.shared import choose, frequent, stage
+from quern.llm.shared import among, choose, frequent, stage
 
 
 def text_digest(text: str = "text"):
@@ -23,9 +23,10 @@ def annotate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     The texts are read once; only ids and digests are staged and shuffled.
     Frequent digests are settled against a broadcast of at most 256 rows.
     """
-    digests = stage(docs.select(F.col(doc_id).alias("doc_id"), text_digest(text).alias("text_sha256")), "digests")
-    return choose(digests, "text_sha256", "doc_id", largest=True).select(
-        "doc_id", F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), F.col("first").alias("kept"), "text_sha256"
+    row = (F.col(doc_id).alias("doc_id"), F.col(doc_id).isNotNull().alias("_known"), F.monotonically_increasing_id().alias("_n"))
+    rows = stage(docs.select(*row, text_digest(text).alias("text_sha256")), "digests")
+    return choose(rows, "text_sha256", ("_known", "doc_id", "_n"), largest=True).select(
+        "doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("size").alias("group_size"), F.col("first").alias("kept"), "text_sha256"
     )
 
 
@@ -39,9 +40,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     columns = docs.columns
     row = docs.select(text_digest(text).alias("_k"), F.struct(*columns).alias("_r"))
     digests = stage(row.select("_k"), "digests")
-    counted = (
-        digests.join(F.broadcast(frequent(digests, "_k")), "_k", "left_semi").groupBy("_k").count().where("count > 1").select("_k")
-    )
+    counted = among(digests, "_k", frequent(digests, "_k")).groupBy("_k").count().where("count > 1").select("_k")
     heavy = stage(counted, "winners")
     order = F.col("_r").getField(doc_id)
     won = row.join(F.broadcast(heavy), "_k").groupBy("_k").agg(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.components import components
-from quern.llm.shared import frequent, stage
+from quern.llm.shared import among, frequent, stage
 from quern.llm.shingles import mix, shingle_sets
 
 #: Words of a shingle, and the least similarity in hundredths.
@@ -254,7 +254,7 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, doc_id: str = "doc
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t"))
     rows = stage(_digests(texts, k), "digests")
     hot = frequent(rows.where("node is not null and doc_id is not null"), "node")
-    hot = rows.where("doc_id is not null").join(F.broadcast(hot), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("d"), F.count("*").alias("c"))
+    hot = among(rows.where("doc_id is not null"), "node", hot).groupBy("node").agg(F.min("doc_id").alias("d"), F.count("*").alias("c"))
     settled = {r["node"]: r["d"] for r in hot.where("c > 1").collect()}  # at most shared.WINNERS rows
 
     signed = _signed(texts.where("doc_id is not null"), k, percent, settled)

@@ -86,21 +86,35 @@ FROM d LEFT JOIN a USING (r)
 """,
     "op5_substring_dedup": rf"""
 WITH d AS (
-  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
-), u AS (
-  SELECT r, doc_id, unnest(l) AS u, unnest(range(len(l))) AS unit FROM d
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '(?s).*?(?:{substring_dedup.ENDS["clause"]}|$)') AS l FROM documents
+), p AS (
+  SELECT r, doc_id, unnest(l) AS p, unnest(range(len(l))) AS i FROM d
+), c AS (
+  SELECT *, regexp_extract_all(translate(p, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM p
+), h AS (
+  -- Words since the last cut; a line end cuts where there are any, a clause where it has enough itself.
+  SELECT *, sum(len(w)) OVER (PARTITION BY r ORDER BY i) AS upto, len(w) >= {substring_dedup.SHORT} OR right(p, 1) = chr(10) AS ends FROM c
+), e AS (
+  SELECT *, ends AND upto > coalesce(max(upto) FILTER (ends) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cut FROM h
+), n AS (
+  SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS unit FROM e
 ), o AS (
-  SELECT *, length(u) AS length, (sum(length(u) + 1) OVER (PARTITION BY r ORDER BY unit))::BIGINT - length(u) - 1 AS start,
-         regexp_extract_all(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
-  FROM u
+  SELECT r, doc_id, unit, string_agg(p, '' ORDER BY i) AS u, sum(len(w)) AS words,
+         array_to_string(flatten(list(w ORDER BY i)), ' ') AS key FROM n GROUP BY r, doc_id, unit
+), s AS (
+  SELECT *, (sum(length(u)) OVER (PARTITION BY r ORDER BY unit) - length(u))::BIGINT AS start, sum(length(u)) OVER (PARTITION BY r) AS total,
+         max(unit) FILTER (words > 0) OVER (PARTITION BY r) AS last FROM o
 ), k AS (
-  SELECT *, array_to_string(w, ' ') AS key FROM o WHERE len(w) >= {substring_dedup.WORDS}
+  SELECT r, doc_id, unit, key, words, start, CASE WHEN unit = last THEN total - start ELSE length(u) END::BIGINT AS length FROM s WHERE words > 0
 ), f AS (
-  SELECT *, row_number() OVER g AS n, first_value(doc_id) OVER g AS keep_doc_id, first_value(unit) OVER g AS keep_unit,
-         first_value(start) OVER g AS keep_start
-  FROM k WINDOW g AS (PARTITION BY key ORDER BY doc_id NULLS LAST, unit, r)
+  SELECT *, row_number() OVER g AS n, first_value(doc_id) OVER g AS keep_doc_id, first_value(start) OVER g AS keep_start
+  FROM k WINDOW g AS (PARTITION BY key ORDER BY doc_id NULLS LAST, start, r)
+), x AS (
+  SELECT *, unit - row_number() OVER (PARTITION BY r ORDER BY unit) AS run FROM f WHERE n > 1
+), y AS (
+  SELECT *, sum(words) OVER (PARTITION BY r, run) AS together FROM x
 )
-SELECT doc_id, unit, start, length::BIGINT AS length, keep_doc_id, keep_unit, keep_start FROM f WHERE n > 1
+SELECT doc_id, start, length, keep_doc_id, keep_start FROM y WHERE together >= {substring_dedup.PASSAGE}
 """,
     "op6_warc": """
 WITH p AS (SELECT row_number() OVER () AS r, page_id, octet_length(encode(coalesce(html, ''))) AS b, sha256(coalesce(html, '')) AS d FROM pages),

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Counters of the frequent-item summary, and the most winners that are taken from it.
@@ -58,56 +58,61 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     with small_batches(df.sparkSession):
         df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more, so that a long run doesn't pile them up."""
+    for df in staged:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def frequent(df: DataFrame, key: str, tracked: int = TRACKED, winners: int = WINNERS) -> DataFrame:
-    """At most `winners` candidate heavy hitters of the string column `key`, by Misra-Gries.
+    """_h: 64-bit hashes of at most `winners` candidate heavy hitters of the column `key`, by Misra-Gries.
 
     Each task keeps a summary of `tracked` counters; FAN_IN tasks merge them
     before the last one does, so no task reads more than its share. Whatever
     exceeds about 2 / tracked of the rows is among the candidates. Counts are
-    estimates: callers verify them exactly.
+    estimates, and keys may share a hash: callers verify them exactly.
     """
-    part = df.where(F.col(key).isNotNull()).groupBy(F.pmod(F.spark_partition_id(), F.lit(FAN_IN)).alias("_g"))
-    summaries = part.agg(F.expr(f"approx_top_k_accumulate({key}, {tracked})").alias("_s"))
+    part = df.where(F.col(key).isNotNull()).select(F.xxhash64(key).alias("_h")).groupBy(F.pmod(F.spark_partition_id(), F.lit(FAN_IN)).alias("_g"))
+    summaries = part.agg(F.expr(f"approx_top_k_accumulate(_h, {tracked})").alias("_s"))
     # Grouped by a constant: a global combine fails on tasks without a summary.
     merged = summaries.groupBy(F.lit(0).alias("_0")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(_s, {tracked}), {winners})").alias("_t"))
-    return merged.select(F.explode("_t").alias("_i")).where("_i.count > 1").select(F.col("_i.item").alias(key))
+    return merged.select(F.explode("_t").alias("_i")).where("_i.count > 1").select(F.col("_i.item").alias("_h"))
+
 
+def among(df: DataFrame, key: str, candidates: DataFrame) -> DataFrame:
+    """The rows whose key is a candidate of frequent(), a table of at most WINNERS rows."""
+    return df.withColumn("_h", F.xxhash64(key)).join(F.broadcast(candidates), "_h", "left_semi").drop("_h")
 
-def choose(df: DataFrame, key: str, pick: str, largest: bool) -> DataFrame:
-    """Adds keep (the largest or smallest `pick` among rows of equal `key`), size and first (true on one row).
 
+def choose(df: DataFrame, key: str, order: Sequence[str], largest: bool, every: bool = True) -> DataFrame:
+    """Adds keep (the largest or smallest `order`, a struct, among rows of equal `key`), size, and first (true on that row).
+
+    `order` names columns that together tell rows apart; its first one should
+    say whether the second is null, as a null is smaller than any value.
     Misra-Gries finds the frequent keys; their exact winners, WINNERS rows at
     most, are broadcast, so the rows of frequent keys are settled where they
-    lie. The other keys are shuffled by key. Rows with equal `pick` tie; one
-    of them is first. Null picks lose against any other. df is read several
-    times and should be staged.
+    lie. For the other keys the winner and the size are aggregated, before the
+    shuffle too, and joined back: no task holds the rows of a key together,
+    and the join can be split where a key is skewed. Without `every`, rows
+    whose key occurs once are left out. df is read several times and should be
+    staged.
     """
-    best = (F.max if largest else F.min)(pick)
-    order = F.col(pick).desc_nulls_last() if largest else F.col(pick).asc_nulls_last()
-    exact = (
-        df.join(F.broadcast(frequent(df, key)), key, "left_semi")
-        .groupBy(key)
-        .agg(best.alias("keep"), F.count("*").alias("size"))
-        .where("size > 1")
-    )
-    heavy = stage(exact, "winners")
-    settled = df.join(F.broadcast(heavy), key)
-    top = F.col(pick).eqNullSafe(F.col("keep"))
-    one = Window.partitionBy(key).orderBy(order)
-    # Repeats of the very row that stays tie for it; usually this is one row a key.
-    tied = settled.where(top).withColumn("first", F.row_number().over(one) == 1)
-    rest = settled.where(~top).withColumn("first", F.lit(False))
-    every = Window.partitionBy(key)
-    light = (
-        df.join(F.broadcast(heavy.select(key)), key, "left_anti")
-        .withColumn("first", F.row_number().over(one) == 1)
-        .withColumn("keep", best.over(every))
-        .withColumn("size", F.count("*").over(every))
+    best = F.struct(*order)
+    found = ((F.max if largest else F.min)(best).alias("keep"), F.count("*").alias("size"))
+    heavy = stage(among(df, key, frequent(df, key)).groupBy(key).agg(*found).where("size > 1"), "winners")
+    light = df.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    again = light.groupBy(key).agg(*found).where("size > 1")
+    settled = light.join(again, key, "left" if every else "inner").unionByName(df.join(F.broadcast(heavy), key))
+    return settled.select(
+        *df.columns, F.coalesce("keep", best).alias("keep"), F.coalesce("size", F.lit(1).cast("long")).alias("size"), F.coalesce(F.col("keep") == best, F.lit(True)).alias("first")
     )
-    return light.unionByName(rest).unionByName(tied)
 
 
 def ascii_lower(text: Column) -> Column:

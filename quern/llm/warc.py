@@ -70,9 +70,10 @@ def plan(pages: DataFrame, shard: int, page_id: str = "page_id", html: str = "ht
     the shard size. The cuts depend on the table alone, not on partitions.
     """
     data = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
-    rows = stage(pages.select(F.col(page_id).alias("page_id"), F.sha2(data, 256).alias("digest"), F.length(data).cast("long").alias("bytes")), "pages")
-    kept = choose(rows.where(F.col("bytes") >= LEAST), "digest", "page_id", largest=False)
-    revisits = kept.where(~F.col("first")).select("page_id", "digest", F.col("keep").alias("refers_to"))
+    known = (F.col(page_id).alias("page_id"), F.col(page_id).isNull().alias("_none"))
+    rows = stage(pages.select(*known, F.sha2(data, 256).alias("digest"), F.length(data).cast("long").alias("bytes"), F.monotonically_increasing_id().alias("_n")), "pages")
+    kept = choose(rows.where(F.col("bytes") >= LEAST), "digest", ("_none", "page_id", "_n"), largest=False, every=False)
+    revisits = kept.where(~F.col("first")).select("page_id", "digest", F.col("keep.page_id").alias("refers_to"))
     return revisits, _cuts(rows, shard)
 
 
