@@ -5,29 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.shared import stage
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum((F.xxhash64("u", "v") % 1_000_003).cast("long"))).first())
+from quern.llm.shared import discard, stage
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root for each node with an edge (u, v); root is the smallest node of its component.
 
-    Alternates large-star and small-star steps until nothing changes. Minima
-    are aggregated before they are shuffled, and each step is staged.
+    Alternates large-star and small-star steps until all edges form stars.
+    Minima are aggregated before they are shuffled; each step is staged, and
+    the one before deleted.
     """
     edges = stage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = _state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = stage(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-        before, state = state, _state(edges)
-        if state == before:
+        new = stage(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        # Stars: no node is both an end and a centre, and no end has two centres.
+        ends = new.groupBy("u").agg(F.count("*").alias("c"))
+        discard(edges)
+        edges = new
+        if ends.where("c > 1").isEmpty() and ends.join(new.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -9,13 +9,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.components import components
-from quern.llm.shared import among, frequent, stage
+from quern.llm.shared import among, discard, frequent, stage
 from quern.llm.shingles import mix, shingle_sets
 
 #: Words of a shingle, and the least similarity in hundredths.
 K, PERCENT = 4, 85
-#: Elements of the sets of a block, if a single set doesn't have more.
-BLOCK = 1 << 15
+#: Bytes of the sets, or of the sketches, of a block, if a single one doesn't have more.
+BLOCK = 1 << 18
+#: Each band's sizes reach about so many hundredths of its smallest one, if not those of similar sets reach further. A set
+#: signs twice if sets of the band below may be similar: with wide bands fewer do, with narrow ones segments are fewer.
+WIDTH = 160
+#: Bits of a set's sketch per element, at least; a power of two in all.
+BITS = 4
 #: Largest set whose size band is tabulated.
 LARGEST = 1 << 40
 
@@ -24,7 +29,7 @@ def bands(percent: int) -> list[int]:
     """Smallest size of each band. Sets that are similar enough are in one band or in neighbouring ones."""
     bounds = [1]
     while bounds[-1] < LARGEST:
-        bounds.append(max(bounds[-1] + 1, -(-bounds[-1] * 100 // percent)))
+        bounds.append(max(bounds[-1] + 1, -(-bounds[-1] * 100 // percent), bounds[-1] * WIDTH // 100))
     return bounds
 
 
@@ -80,6 +85,36 @@ def _nodes(x: np.ndarray, at: np.ndarray) -> np.ndarray:
         return mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64), 9)
 
 
+def sketches(x: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Of each set, for each hash value of its elements whether their number is odd, in bits.
+
+    Two sets whose sketches differ in so many bits differ in as many elements
+    at least. A sketch of twice the size folds to one of the size.
+    """
+    n = np.diff(at)
+    size = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(n * BITS, 1))).astype(np.int64))
+    first = np.concatenate(([0], np.cumsum(size)))
+    of = np.repeat(np.arange(len(n)), n)
+    bit = first[of] + (mix(x, 10) & (size[of] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(bit, minlength=first[-1]) & 1).astype(np.uint8)
+    raw = np.packbits(odd).tobytes()
+    return [raw[a // 8 : b // 8] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
+def _fold(rows: np.ndarray, size: int) -> np.ndarray:
+    while rows.shape[-1] > size:
+        half = rows.shape[-1] // 2
+        rows = rows[..., :half] ^ rows[..., half:]
+    return rows
+
+
+def _may_link(p: np.ndarray, n: np.ndarray, q: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of n and m elements with the sketches p and q can be similar."""
+    size = min(p.shape[-1], q.shape[-1])
+    apart = np.bitwise_count(_fold(p, size) ^ _fold(q, size)).sum(-1, dtype=np.int64)
+    return (100 + percent) * apart <= (100 - percent) * (n + m)
+
+
 def _digests(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -88,14 +123,15 @@ def _digests(docs: DataFrame, k: int) -> DataFrame:
             for first, rows, x, at in shingle_sets(b, 1, k):
                 n = np.diff(at)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(first, rows), pa.array(n), pa.array(_nodes(x, at).view(np.int64), mask=n == 0)], ["doc_id", "n", "node"]
+                    [b.column(0).slice(first, rows), pa.array(n), pa.array(_nodes(x, at).view(np.int64), mask=n == 0), pa.array(sketches(x, at), pa.binary())],
+                    ["doc_id", "n", "node", "bits"],
                 )
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, node long")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, node long, bits binary")
 
 
 def _signed(docs: DataFrame, k: int, percent: int, settled: dict[int, int]) -> DataFrame:
-    """sig, node, n: the signatures of every set in its own band and as a larger partner in the band below.
+    """sig, node: the signatures of every set in its own band and as a larger partner in the band below.
 
     settled: of a frequent set, the doc_id of the one row that is to sign for it.
     """
@@ -123,11 +159,9 @@ def _signed(docs: DataFrame, k: int, percent: int, settled: dict[int, int]) -> D
                     keep = np.repeat(use, n)
                     sigs, of = signatures(x[keep], np.concatenate(([0], np.cumsum(n[pick]))), band[pick], number[band[pick]])
                     of = pick[of]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(sigs.view(np.int64)), pa.array(node[of]), pa.array(n[of].astype(np.int32))], ["sig", "node", "n"]
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(node[of])], ["sig", "node"])
 
-    return docs.mapInArrow(run, "sig long, node long, n int")
+    return docs.mapInArrow(run, "sig long, node long")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -168,44 +202,99 @@ def _linked(pairs: DataFrame, sets_: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").mapInArrow(run, "u long, v long")
 
 
-def _within(left: DataFrame, sets_: DataFrame, percent: int) -> DataFrame:
-    """Links between different roots among the sets of each home, at most one for each two roots of a pair of blocks.
+def _possible(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those that can be similar by their sizes and sketches. No similar pair is lost."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            ok = np.zeros(b.num_rows, bool)
+            n, m = b.column("n").to_numpy(), b.column("m").to_numpy()
+            for i, (p, q) in enumerate(zip(b.column("p"), b.column("q"), strict=True)):
+                ok[i] = _may_link(np.frombuffer(p.as_buffer(), np.uint8), n[i], np.frombuffer(q.as_buffer(), np.uint8), m[i], percent)
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], ["a", "b"])
+
+    left = known.select(F.col("node").alias("a"), "n", F.col("bits").alias("p"))
+    right = known.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("q"))
+    sized = pairs.join(right, "b").join(left, "a").where(_near(percent, "n", "m"))
+    return sized.select("a", "b", "n", "m", "p", "q").mapInArrow(run, "a long, b long")
+
 
-    A home's sets are cut into blocks of bounded size, in order of root, and
-    each pair of blocks that has more than one root is a row of its own. So a
-    home of any size is spread, no pairs of sets are rows, and no task holds
-    more than two blocks.
+def _paired_blocks(nodes: DataFrame, data: DataFrame, percent: int) -> DataFrame:
+    """home, s, t: for each home the pairs of its blocks that have more than one root and sizes that can be similar.
+
+    nodes: home, node, root, n; data: node, x. A home's sets are cut into
+    blocks of bounded size, in order of n. So a home of any size is spread, no
+    pairs of sets are rows, and no task holds more than two blocks at a time.
     """
-    nodes = left.groupBy("home", "node").agg(F.first("root").alias("root"), F.first("n").alias("n"))
     several = nodes.groupBy("home").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("home")
-    by = Window.partitionBy("home").orderBy("root", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = nodes.join(several, "home", "left_semi").withColumn("block", F.floor((F.sum("n").over(by) - F.col("n")) / BLOCK))
+    by = Window.partitionBy("home").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = nodes.join(several, "home", "left_semi").join(data.select("node", F.length("x").alias("bytes")), "node")
+    placed = placed.withColumn("block", F.floor((F.sum("bytes").over(by) - F.col("bytes")) / BLOCK)).drop("bytes")
     blocks = stage(
-        placed.join(sets_, "node")
+        placed.join(data, "node")
         .groupBy("home", "block")
-        .agg(F.collect_list(F.struct("node", "root", "x")).alias("s"), F.min("root").alias("lo"), F.max("root").alias("hi")),
+        .agg(F.collect_list(F.struct("node", "root", "n", "x")).alias("s"), *(f(c).alias(f"{w}{c}") for c in ("root", "n") for w, f in (("lo", F.min), ("hi", F.max)))),
         "blocks",
     )
-    ends = blocks.select("home", "block", "lo", "hi")
+    ends = blocks.drop("s")
     # Both sides carry numbers only here.
-    numbers = ends.join(ends.select("home", F.col("block").alias("with"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2")), "home")
-    numbers = numbers.where("block <= with and not (lo = hi and lo2 = hi2 and lo = lo2)").select("home", "block", "with")
+    others = ends.select("home", F.col("block").alias("with"), F.col("loroot").alias("lo2"), F.col("hiroot").alias("hi2"), F.col("lon").alias("n2"))
+    numbers = ends.join(others, "home").where("block <= with and not (loroot = hiroot and lo2 = hi2 and loroot = lo2)")
+    numbers = numbers.where(F.col("hin") * 100 >= F.col("n2") * percent).select("home", "block", "with")
     second = blocks.select("home", F.col("block").alias("with"), F.col("s").alias("t"))
-    both = numbers.join(blocks.select("home", "block", "s"), ["home", "block"]).join(second, ["home", "with"]).select("s", "t")
+    return numbers.join(blocks.select("home", "block", "s"), ["home", "block"]).join(second, ["home", "with"]).select("home", "s", "t")
+
+
+def _sides(row_s, row_t, kind) -> list[tuple]:
+    out = []
+    for v in (row_s.values, row_t.values):
+        out.append((v.field("node").to_numpy(), v.field("root").to_numpy(), v.field("n").to_numpy(), [np.frombuffer(x.as_buffer(), kind) for x in v.field("x")]))
+    return out
+
+
+def _suspects(nodes: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """home, node of the nodes that can link, by their sketches, with one of another root in their home."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            for i in range(b.num_rows):
+                (u, r, n, ps), (v, q, m, qs) = _sides(b.column(1)[i], b.column(2)[i], np.uint8)
+                found = set()
+                stacked = {}
+                for size in {len(y) for y in qs}:
+                    at = np.array([k for k, y in enumerate(qs) if len(y) == size])
+                    stacked[size] = at, np.stack([qs[k] for k in at])
+                for k, p in enumerate(ps):
+                    for at, rows in stacked.values():
+                        for a in range(0, len(at), 256):
+                            some = at[a : a + 256]
+                            ok = _may_link(rows[a : a + 256], m[some], p, n[k], percent) & (q[some] != r[k])
+                            if ok.any():
+                                found.update(v[some[ok]].tolist(), (int(u[k]),))
+                homes = pa.array([b.column(0)[i].as_py()] * len(found), pa.int64())
+                yield pa.RecordBatch.from_arrays([homes, pa.array(sorted(found), pa.int64())], ["home", "node"])
+
+    both = _paired_blocks(nodes, known.select("node", F.col("bits").alias("x")), percent)
+    return both.mapInArrow(run, "home long, node long").distinct()
+
+
+def _within(nodes: DataFrame, sets_: DataFrame, percent: int) -> DataFrame:
+    """Links between different roots among the sets of each home, at most one for each two roots of a pair of blocks."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
             for i in range(b.num_rows):
-                sides = []
-                for c in (0, 1):
-                    v = b.column(c)[i].values
-                    sides.append((v.field("node").to_numpy(), v.field("root").to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in v.field("x")]))
-                u, v = _compared(*sides[0], *sides[1], percent)
+                (nodes_, roots, _, xs), (others, other_roots, _, ys) = _sides(b.column(1)[i], b.column(2)[i], np.uint64)
+                u, v = _compared(nodes_, roots, xs, others, other_roots, ys, percent)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return both.mapInArrow(run, "u long, v long")
+    return _paired_blocks(nodes, sets_, percent).mapInArrow(run, "u long, v long")
 
 
 def _compared(nodes, roots, xs, others, other_roots, ys, percent: int) -> tuple[list[int], list[int]]:
@@ -246,10 +335,12 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, doc_id: str = "doc
     themselves.
 
     Equal sets become one node first. Sets that agree on a signature are
-    candidates: within a signature each set is paired with a central one only,
-    and the pairs are verified on whole sets. Where a signature then still
-    spans several components, its sets are compared across components too, in
-    blocks of bounded size, so no link between components is missed.
+    candidates: within a signature each set is paired with a central one only.
+    Pairs whose sketches, some bits per element, differ too much to be similar
+    are dropped; the others are verified on whole sets. Where a signature then
+    still spans several components, its sets are compared across components
+    too, in blocks of bounded size, by sketches and then by whole sets, so no
+    link between components is missed.
     """
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t"))
     rows = stage(_digests(texts, k), "digests")
@@ -259,20 +350,21 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, doc_id: str = "doc
 
     signed = _signed(texts.where("doc_id is not null"), k, percent, settled)
     by = Window.partitionBy("sig")
-    shared_ = (
-        signed.withColumn("lo", F.min("node").over(by)).withColumn("hi", F.max("node").over(by)).where("lo <> hi").select("sig", "node", "n").distinct()
-    )
+    shared_ = signed.withColumn("lo", F.min("node").over(by)).withColumn("hi", F.max("node").over(by)).where("lo <> hi").select("sig", "node").distinct()
     members = stage(shared_, "members")
+    # Frequent sets are one row each, settled before; of other sets the rows are few.
+    some = rows.where("node is not null and doc_id is not null").select("node", "n", "bits").join(members.select("node").distinct(), "node", "left_semi")
+    known = stage(some.dropDuplicates(["node"]), "sketches")
 
     # The member that shares most stands in the middle of its group, and mostly of its neighbours' groups too.
     sized = members.join(members.groupBy("sig").agg(F.count("*").alias("c")), "sig")
     weighed = sized.join(sized.groupBy("node").agg(F.sum("c").alias("w")), "node")
-    pivots = stage(weighed.groupBy("sig").agg(F.max(F.struct("w", "node", "n")).alias("f")), "pivots")
-    star = members.join(pivots, "sig").where("node <> f.node").where(_near(percent, "n", "f.n"))
-    pairs = stage(star.select(F.col("f.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-
-    sets_ = _whole(texts, rows, members.select("node").distinct(), k)
-    links = stage(_linked(pairs, sets_, percent), "links")
+    pivots = stage(weighed.groupBy("sig").agg(F.max(F.struct("w", "node")).alias("f")).select("sig", F.col("f.node").alias("home")), "pivots")
+    around = members.join(pivots, "sig")
+    star = around.where("node <> home").select(F.col("home").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = stage(_possible(star, known, percent), "pairs")
+    links = stage(_linked(pairs, _whole(texts, rows, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), k), percent), "links")
+    discard(pairs)
     same = rows.where("node is not null and doc_id is not null").select("doc_id", "node")
     # Rows that share an id tie their sets together.
     tied = same.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("hi")).where("u <> hi").select("doc_id", "u")
@@ -280,24 +372,17 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, doc_id: str = "doc
     links = links.unionByName(ties)
     roots = components(links)
 
-    rooted = members.join(roots, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root"))
+    rooted = around.join(roots, "node", "left").select("sig", "node", "home", F.coalesce("root", "node").alias("root"))
     spans = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-    left = rooted.join(spans, "sig", "left_semi").join(pivots, "sig")
-    home = left.groupBy("node").agg(F.max("f").alias("home"))
-    left = stage(left.join(home, "node").select("sig", "node", "n", "root", F.col("home.node").alias("home")), "open")
-    # Sets with the same home are compared in blocks, the few others by pairs.
-    other = left.select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("r"), F.col("home").alias("away"))
-    apart = (
-        left.withColumnRenamed("node", "a")
-        .join(other, "sig")
-        .where("a < b and root <> r and home <> away")
-        .where(_near(percent, "n", "m"))
-        .select("a", "b")
-        .distinct()
-    )
-    found = stage(_linked(apart, sets_, percent).unionByName(_within(left, sets_, percent)), "links")
-    if not found.isEmpty():
-        roots = components(links.unionByName(found))
+    # All sets of a signature have its pivot as a home in common; a set may have several homes.
+    left = rooted.join(spans, "sig", "left_semi").select("home", "node", "root").distinct().join(known.select("node", "n"), "node")
+    left = stage(left, "open")
+    suspects = stage(left.join(_suspects(left, known, percent), ["home", "node"], "left_semi"), "suspects")
+    if not suspects.isEmpty():
+        found = stage(_within(suspects, _whole(texts, rows, suspects.select("node").distinct(), k), percent), "links")
+        if not found.isEmpty():
+            roots = components(links.unionByName(found))
+    discard(members, known, pivots, left, suspects)
 
     # Smallest doc_id of each set, then of each component.
     least = same.groupBy("node").agg(F.min("doc_id").alias("d"))
