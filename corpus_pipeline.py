@@ -12,8 +12,8 @@ from quern.llm import exact_dedup, jaccard_join, mixing, packing, quality_rules,
 from quern.llm.shared import stage
 
 
-#: Shares of all tokens that the mixture is to have. The quality rules leave nothing of the low domain to weigh.
-TARGETS = {"clean": 0.97, "toxic": 0.03}
+#: Shares of all tokens that the mixture is to have. If the rules leave no labelled low document, its share goes to the others.
+TARGETS = queries.TARGETS
 #: Words of a shingle and least similarity in hundredths for near-duplicates here; op7's query has its own.
 NEAR_K, NEAR_PERCENT = 5, 80
 
