@@ -7,7 +7,7 @@ from quern.llm.quality_rules import STOP_WORDS
 
 _STOPS = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
 
-_VOTERS = ", ".join(f"({t}, '{label}', {phrase}, {n}, '{gram}', {i})" for t, label, phrase, n, gram, i in license_scan.positions())
+_VOTERS = ", ".join(f"({t}, '{label}', {phrase}, '{f}', {n}, {m}, '{gram}', {i})" for t, label, phrase, f, n, m, gram, i in license_scan.positions())
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": """
@@ -56,22 +56,29 @@ WITH d AS (
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents
-), t(template, label, phrase, grams, tgram, tpos) AS (VALUES {_VOTERS}),
+), t(template, label, phrase, family, grams, needed, tgram, tpos) AS (VALUES {_VOTERS}),
 g AS (
   SELECT r, i - 1 AS pos, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM d)
+), v AS (
+  SELECT r, template, label, phrase, family, grams, needed, pos, tpos, pos - tpos AS diagonal FROM g JOIN t ON gram = tgram
 ), dia AS (
-  SELECT r, template, label, phrase, grams, pos - tpos AS diagonal, count(*) AS votes, min(pos) AS lo, max(pos) AS hi
-  FROM g JOIN t ON gram = tgram GROUP BY ALL
-), cl AS (
   SELECT *, sum(CASE WHEN phrase OR coalesce(diagonal - prev > {license_scan.GAP}, true) THEN 1 ELSE 0 END)
             OVER (PARTITION BY r, template ORDER BY diagonal) AS c
-  FROM (SELECT *, lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) AS prev FROM dia)
+  FROM (SELECT *, lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) AS prev
+        FROM (SELECT DISTINCT r, template, phrase, diagonal FROM v))
 ), m AS (
-  SELECT r, template, label, phrase, grams, c, sum(votes) AS votes, min(diagonal) AS diagonal,
-         least(1.0::DOUBLE, sum(votes)::DOUBLE / grams) AS score
-  FROM cl GROUP BY r, template, label, phrase, grams, c
+  SELECT r, template, label, phrase, family, grams, c, min(diagonal) AS diagonal, min(pos) AS lo, max(pos) AS hi,
+         count(DISTINCT tpos)::DOUBLE / grams AS score
+  FROM v JOIN dia USING (r, template, phrase, diagonal) GROUP BY r, template, label, phrase, family, grams, needed, c
+  HAVING count(DISTINCT tpos) >= needed
+), o AS (
+  SELECT *, sum(beyond) OVER (PARTITION BY r, family ORDER BY lo, hi, template) AS place
+  FROM (SELECT *, CASE WHEN lo > 1 + max(hi) OVER (PARTITION BY r, family ORDER BY lo, hi, template ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+                       THEN 1 ELSE 0 END AS beyond FROM m WHERE NOT phrase)
 ), f AS (
-  SELECT * FROM m WHERE CASE WHEN phrase THEN votes = grams ELSE score >= {license_scan.LEAST} END
+  SELECT r, label, phrase, diagonal, score FROM m WHERE phrase
+  UNION ALL
+  SELECT r, label, phrase, diagonal, score FROM (SELECT *, max(score) OVER (PARTITION BY r, family, place) AS best FROM o) WHERE score = best
 ), a AS (
   SELECT r, count(*) FILTER (phrase) AS n_base, min(diagonal) FILTER (phrase) AS first_word,
          max(diagonal) FILTER (phrase) AS last_word,
