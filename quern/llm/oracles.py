@@ -144,21 +144,29 @@ WITH src AS (
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i,
          len(regexp_extract_all(coalesce(text, ''), '{chat_format.PIECES}')) + {chat_format.MARKS} AS n
   FROM src
-), p AS (
+), q AS (
   SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY i) AS e,
-         first_value(role) OVER (PARTITION BY conv_id ORDER BY i) = 'system' AS sys,
-         greatest(1, {chat_format.BUDGET - chat_format.HISTORY} - CASE WHEN first_value(role) OVER (PARTITION BY conv_id ORDER BY i) = 'system'
-           THEN first_value(n) OVER (PARTITION BY conv_id ORDER BY i) ELSE 0 END) AS step
+         CASE WHEN first_value(role) OVER (PARTITION BY conv_id ORDER BY i) = 'system'
+               AND first_value(n) OVER (PARTITION BY conv_id ORDER BY i) <= {(chat_format.BUDGET - chat_format.HISTORY) // 2}
+              THEN first_value(n) OVER (PARTITION BY conv_id ORDER BY i) ELSE 0 END AS sys
   FROM t
+), p AS (
+  SELECT *, greatest(1, {chat_format.BUDGET - chat_format.HISTORY} - sys) AS step FROM q
 ), c AS (
   SELECT *, ((e - n) // step) * 2 + CASE WHEN (e - n) // step < (e - 1) // step THEN 1 ELSE 0 END AS cell FROM p
 ), w AS (
   SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY i) - 1 AS win
   FROM (SELECT *, CASE WHEN cell IS DISTINCT FROM lag(cell) OVER (PARTITION BY conv_id ORDER BY i) THEN 1 ELSE 0 END AS new FROM c)
+), o AS (
+  SELECT conv_id, win, any_value(sys) AS sys, sum(n) AS own, max(e) AS last FROM w GROUP BY conv_id, win
+), f AS (
+  SELECT *, lead(own) OVER (PARTITION BY conv_id ORDER BY win) AS follow,
+         count(*) FILTER (win > 0 AND sys > 0 AND sys + own <= {chat_format.BUDGET}) OVER (PARTITION BY conv_id) AS heads FROM o
 ), l AS (
-  SELECT *, max(e) OVER (PARTITION BY conv_id, win) AS last, max(win) OVER (PARTITION BY conv_id) AS wins FROM w
+  SELECT w.*, f.last, f.heads, CASE WHEN follow IS NULL THEN -1 ELSE least({chat_format.HISTORY}, {chat_format.BUDGET} - follow - CASE WHEN f.sys <= {chat_format.BUDGET} - follow THEN f.sys ELSE 0 END) END AS room
+  FROM w JOIN f ON w.win = f.win AND w.conv_id IS NOT DISTINCT FROM f.conv_id
 ), k AS (
-  SELECT *, CASE WHEN sys AND i = 1 THEN wins + 1 WHEN win < wins AND last - (e - n) <= {chat_format.HISTORY} THEN 2 ELSE 1 END AS copies,
+  SELECT *, CASE WHEN sys > 0 AND i = 1 THEN heads + 1 WHEN last - (e - n) <= room THEN 2 ELSE 1 END AS copies,
          length(replace(replace(replace(role, '~', '~0'), '<|', '<~1'), chr(10), '~2')) + length(replace(replace(text, '~', '~0'), '<|', '<~1'))
            + {len(chat_format.START) + len(chat_format.END) + 2} AS chars
   FROM l

@@ -51,7 +51,7 @@ def test_windows_keep_the_budget_and_the_system_turn(spark):
         parts = r.formatted.split(c.START)[1:]
         assert parts[0].startswith("system\nbe kind")
         assert r.repeated == 0 if r.window == 0 else r.repeated >= 1
-        assert sum(len(p.split()) + 3 for p in parts) <= 80
+        assert r.tokens == sum(len(p.replace(c.END, "").split()[1:]) + 3 for p in parts) <= 60
         spans = [r.formatted[a:b] for a, b in r.loss]
         assert all(s.startswith("text number") for s in spans)
         seen += spans
@@ -59,6 +59,31 @@ def test_windows_keep_the_budget_and_the_system_turn(spark):
     assert any(r.repeated > 1 for r in got)
 
 
+def test_no_window_exceeds_the_budget_unless_one_turn_does(spark):
+    rng = random.Random(8)
+    rows = []
+    for conv in range(120):
+        sizes = [rng.choice([0, 5, 60, 200, 380, 480, 493, 600]) for _ in range(rng.randrange(1, 25))]
+        rows += [(conv, i, "system" if i == 0 and conv % 4 else rng.choice(["user", "assistant"]), "w " * n, n + 7) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, SCHEMA + ", counted int")
+    for tokens, more in ((None, 0), ("counted", 7)):
+        w = c.windows(df, tokens=tokens).collect()
+        turns = {}
+        for conv, _, role, text, _ in rows:
+            turns.setdefault(conv, []).append((role, len(text.split()) + c.MARKS + more))
+        for r in w:
+            parts = r.formatted.split(c.START)[1:]
+            assert r.tokens == sum(p.count("w ") + c.MARKS + more for p in parts)
+            assert r.tokens <= c.BUDGET or len(parts) == 1
+            role, n = turns[r.conv_id][0]
+            if r.window and role == "system" and n <= (c.BUDGET - c.HISTORY) // 2:
+                own = r.tokens - sum(p.count("w ") + c.MARKS + more for p in parts[: r.repeated])
+                assert parts[0].startswith("system") == (n + own <= c.BUDGET)
+        assert any(r.repeated > 1 for r in w)
+        got = sorted((tuple(r)[:5] for r in c.digest(spark.createDataFrame(w)).collect()), key=repr)
+        assert got == told([r[:4] for r in rows])
+
+
 def test_turns_are_listed_once(spark):
     rows = rows_of(2)
     w = c.windows(spark.createDataFrame(rows, SCHEMA), 60, 20)
