@@ -13,7 +13,7 @@ from quern.llm.shared import stage
 
 SIZE, END = 2048, 1
 #: Chunks of text whose ids a worker remembers, and rows that it turns into Python objects at once.
-REMEMBERED, ROWS = 700_000, 64
+REMEMBERED, ROWS = 500_000, 64
 #: Longer chunks are seldom seen again and are not remembered.
 FREQUENT = 11
 #: Pieces that one numbering bucket gets on average.
@@ -40,18 +40,39 @@ class ChunkEncoder:
     are made from two. Words of Latin-1 letters need no normalisation beyond
     lower case and go to the merges directly. Lower case changes no ids but
     those of added tokens, so a text with "<|" keeps its case.
+
+    All this holds for a byte-level vocabulary of lower-cased words that are
+    split at marks. Whether the given one is such is tried on PROBES; if not,
+    whole texts are encoded as they are.
     """
 
     MARK = "\x01"
+    PROBES = (
+        "The QUICK brown fox, it's 12 o'clock. Don't stop!! (Really?) a.b,c;d e-mail@x.org 3.14 $5 50% #tag <p>x</p> ~tilde~",
+        "\u00c9t\u00e9 \u00dcber stra\u00dfe, \u00f1and\u00fa. na\u00efve\u00a0space \u0130stanbul K\u212a \u03a9mega \u4f60\u597d \U0001f600 e\u0301",
+        "line one\nline  two \n\n\tTabbed\r\nend. ,  . x\x01y \u200b ...", "", " ", "UPPER lower MiXeD 1st 2nd A1B2 x,y. z",
+    )
 
     def __init__(self, vocabulary: str):
-        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_str(vocabulary)
+        self.by_chunks = False
+        try:
+            self._prepare(vocabulary)
+            self.by_chunks = self._chunked([*self.PROBES]) == [self._alone(t) for t in self.PROBES]
+        except (KeyError, TypeError, ValueError):
+            pass  # a vocabulary of another kind
+        self.known, self.older = {}, {}
+
+    def _prepare(self, vocabulary: str) -> None:
+        import json
+
+        from tokenizers import Tokenizer
+
         bare = json.loads(vocabulary) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
         self.merges = Tokenizer.from_str(json.dumps(bare))
         (self.mark,) = self.whole.encode(self.MARK, add_special_tokens=False).ids
@@ -117,6 +138,9 @@ class ChunkEncoder:
             look[c] = look[c[:-1]] + self.ends[c[-1]]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        return self._chunked(texts) if self.by_chunks else [self._alone(t) for t in texts]
+
+    def _chunked(self, texts: list[str]) -> list[bytes]:
         split = [(t.lower() if "<|" not in t and _latin(t) else t).replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > REMEMBERED // 2:
             self.older, self.known = self.known, {}
@@ -155,15 +179,16 @@ def encoder(vocabulary: str) -> ChunkEncoder:
 
 
 def tokenise(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END, keep_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pieces of at most `size` ids: doc_id, start, length, ids_crc32, doc_tokens, and ids if asked for.
+    """Pieces of at most `size` ids: doc_id, row, start, length, ids_crc32, doc_tokens, and ids if asked for.
 
+    row tells the rows of docs apart.
     A document longer than `size` is cut into full windows and a rest.
     Whole texts are encoded; null counts as empty, which leaves the end id.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"), F.monotonically_increasing_id().alias("row"))
     schema = T.StructType(
-        [rows.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens"))]
+        [rows.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("row", "start", "length", "ids_crc32", "doc_tokens"))]
         + [T.StructField("ids", T.BinaryType())] * keep_ids
     )
 
@@ -185,8 +210,9 @@ def tokenise(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END,
                         crcs.append(zlib.crc32(piece))
                         totals.append(len(data) // 4)
                         ids.append(piece if keep_ids else None)
-                columns = [part.column(0).take(pa.array(at)), *(pa.array(x, pa.int64()) for x in (starts, lengths, crcs, totals))]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+                at = pa.array(at, pa.int64())
+                columns = [part.column(0).take(at), part.column(2).take(at), *(pa.array(x, pa.int64()) for x in (starts, lengths, crcs, totals))]
+                names = ["doc_id", "row", "start", "length", "ids_crc32", "doc_tokens"]
                 if keep_ids:
                     columns, names = [*columns, pa.array(ids, pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names)
@@ -270,7 +296,7 @@ def best_fit_decreasing(counts: Mapping[int, int], size: int = SIZE) -> tuple[li
 
 
 def assign(pieces: DataFrame, size: int = SIZE) -> DataFrame:
-    """Adds sequence_id and offset to staged pieces.
+    """The staged pieces of tokenise(), with sequence_id and offset in place of row.
 
     Only the histogram of lengths, at most `size` rows, comes to the driver,
     where the segment tree packs it; the plan goes back as a broadcast of a
@@ -281,7 +307,7 @@ def assign(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     plan, _ = best_fit_decreasing(counts, size)
     buckets = max(1, sum(counts.values()) // BUCKET)
-    keys = [c for c in ("doc_id", "start", "ids_crc32") if c in pieces.columns]
+    keys = ["doc_id", "start", "ids_crc32", "row"]  # repeated rows have a number of their own
     dealt = pieces.withColumn("_b", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
     before = (
         dealt.groupBy("length", "_b")
@@ -295,7 +321,7 @@ def assign(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     where = F.broadcast(spark.createDataFrame(plan, schema))
     nth = F.col("_rank") - F.col("_lo")
     return numbered.join(where, (F.col("length") == F.col("_length")) & F.col("_rank").between(F.col("_lo"), F.col("_hi"))).select(
-        *pieces.columns,
+        *(c for c in pieces.columns if c != "row"),
         (F.col("_window") + F.expr("(_rank - _lo) div _each")).alias("sequence_id"),
         (F.col("_from") + F.pmod(nth, F.col("_each")) * F.col("length")).alias("offset"),
     )

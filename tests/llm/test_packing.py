@@ -93,3 +93,23 @@ def test_pieces_and_sequences(spark, plain):
 
 def test_empty_table(spark):
     assert p.pack(spark.createDataFrame([], "doc_id long, text string"), VOCABULARY).count() == 0
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_any_vocabulary_gives_the_ids_of_whole_texts(name):
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    vocabulary = queries.vocabulary(name)
+    whole, encode = Tokenizer.from_str(vocabulary), p.ChunkEncoder(vocabulary)
+    assert encode.by_chunks == (name == "word_bpe_49k.json")
+    texts = ["Don't  stop, the QUICK\n\nfox; élan 你好 x.y 12,5.", "", "a <|ENDOFTEXT|> b", *p.ChunkEncoder.PROBES]
+    for t, ids in zip(texts, encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
+def test_repeated_rows_are_packed_once_each(spark):
+    rows = [(1, "the same text")] * 500 + [(None, None)] * 30
+    got = p.pack(spark.createDataFrame(rows, "doc_id long, text string"), queries.vocabulary()).collect()
+    places = {(r.sequence_id, r.offset) for r in got}
+    assert len(got) == len(places) == 530
