@@ -84,3 +84,8 @@ def tags_html(tags: Column, first: int | None = None) -> Column:
     tags = F.coalesce(tags, F.array().cast("array<string>"))
     shown = tags if first is None else F.slice(tags, 1, first)
     return F.array_join(F.transform(shown, lambda t: F.concat(F.lit('<span class="tag">'), html_escape(t), F.lit("</span>"))), "")
+
+
+def is_post_hash(hash_: Column) -> Column:
+    """Whether a fragment names a post: it starts with '#post-', whatever follows; null is none."""
+    return F.coalesce(F.startswith(hash_, F.lit("#post-")), F.lit(False))

@@ -84,8 +84,8 @@ def route(df: DataFrame, hashes: DataFrame, hash_: str = "hash", id_: str = "id"
 
 
 def interval_lookup(df: DataFrame, bands: DataFrame, value: str, top: str = "top", height: str = "height", name: str = "name") -> DataFrame:
-    """Every band with top <= value < top + height. bands is a small constant table and is broadcast."""
-    b = F.broadcast(bands.select(F.col(name).alias("band"), F.col(top).alias("_lo"), (F.col(top) + F.col(height)).alias("_hi")))
+    """Every band with top <= value < top + height. Whether bands are broadcast is left to the optimiser, which knows their size."""
+    b = bands.select(F.col(name).alias("band"), F.col(top).alias("_lo"), (F.col(top) + F.col(height)).alias("_hi"))
     return df.join(b, (F.col(value) >= F.col("_lo")) & (F.col(value) < F.col("_hi"))).drop("_lo", "_hi")
 
 
@@ -123,7 +123,7 @@ def default_sorter(text: Column, query: str) -> Column:
 
 
 def typeahead(
-    df: DataFrame,
+    df: DataFrame | Callable[[str], DataFrame],
     query: str,
     text: str,
     order: str,
@@ -135,7 +135,9 @@ def typeahead(
     """The best `items` matches with html and rank, ties in the given order; nothing for an empty query.
 
     matcher, sorter and highlighter are Column functions and can be replaced.
+    The source is a table, or a function that gives one for the query.
     """
+    df = df(query) if callable(df) else df
     if not query:
         return df.limit(0).withColumn("html", F.lit("")).withColumn("rank", F.lit(0).cast("long"))
     hits = df.where(matcher(F.col(text), query)).withColumn("_class", sorter(F.col(text), query))
@@ -145,9 +147,9 @@ def typeahead(
 
 
 def weighted_difference(df: DataFrame, weights: DataFrame, keys: Sequence[str], on: Sequence[str], mine: Column, theirs: Column, weight: str = "w") -> DataFrame:
-    """Per key the weights of own rows less those of the other side's. weights is a small constant table."""
+    """Per key the weights of own rows less those of the other side's."""
     total = lambda c: F.coalesce(F.sum(F.when(c, F.col(weight))), F.lit(0))
-    return df.join(F.broadcast(weights), list(on)).groupBy(*keys).agg((total(mine) - total(theirs)).alias("score"))
+    return df.join(weights, list(on)).groupBy(*keys).agg((total(mine) - total(theirs)).alias("score"))
 
 
 def best_of(df: DataFrame, keys: Sequence[str], score: str, tie: str, above: float | None = None) -> DataFrame:
@@ -163,3 +165,14 @@ def best_of(df: DataFrame, keys: Sequence[str], score: str, tie: str, above: flo
 def changed(df: DataFrame, keys: Sequence[str], before: str, after: str) -> DataFrame:
     """Per key whether any cell differs."""
     return df.groupBy(*keys).agg(F.bool_or(~F.col(before).eqNullSafe(F.col(after))).alias("changed"))
+
+
+def state(df: DataFrame, empty: str = "no posts", some: str = "posts") -> DataFrame:
+    """One row: which branch a page takes for df, and featured and others, the rows that its two parts show."""
+    n = F.count("*")
+    return df.agg(F.when(n == 0, empty).otherwise(some).alias("state"), F.least(n, F.lit(1)).alias("featured"), F.greatest(n - 1, F.lit(0)).alias("others"))
+
+
+def merge_unique(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The rows of both, each once, by column name."""
+    return a.unionByName(b).distinct()

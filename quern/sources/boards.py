@@ -8,18 +8,28 @@ from pyspark.sql import functions as F
 
 def _tokens(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.text(path, wholetext=True)
-    return text.select(F.input_file_name().alias("file"), F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+").alias("t"))
+    return _split(text.select(F.input_file_name().alias("file"), "value"))
+
+
+def _split(docs: DataFrame) -> DataFrame:
+    return docs.select("file", F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+").alias("t"))
 
 
 def read_boards(spark: SparkSession, path: str) -> DataFrame:
-    """board_id, strategy, player, depth, i, j, cell: 64 rows for each file of `strategy player depth` and a board.
+    """The boards of the files under path, by parse_boards(); board_id is the file."""
+    text = spark.read.text(path, wholetext=True)
+    return parse_boards(text.select(F.input_file_name().alias("board_id"), "value"), "value")
+
+
+def parse_boards(docs: DataFrame, text: str = "text", board_id: str = "board_id") -> DataFrame:
+    """board_id, strategy, player, depth, i, j, cell: 64 rows for each text of `strategy player depth` and a board.
 
-    The 64 cells may stand together or apart. A file with fewer cells or
+    The 64 cells may stand together or apart. A text with fewer cells or
     other characters than X, O and * raises.
     """
-    t = _tokens(spark, path)
+    t = _split(docs.select(F.col(board_id).alias("file"), F.col(text).alias("value")))
     cells = F.array_join(F.slice("t", 4, 64), "")
-    bad = F.raise_error(F.concat(F.lit("no board of 64 cells: "), F.col("file")))
+    bad = F.raise_error(F.concat(F.lit("no board of 64 cells: "), F.col("file").cast("string")))
     cells = F.when(cells.rlike(r"^[XO*]{64}$"), cells).otherwise(bad)
     d = t.select(F.col("file").alias("board_id"), F.get("t", F.lit(0)).cast("int").alias("strategy"), F.get("t", F.lit(1)).alias("player"), F.get("t", F.lit(2)).cast("int").alias("depth"), cells.alias("c"))
     d = d.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(63))))

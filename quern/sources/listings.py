@@ -67,3 +67,17 @@ def row_html(rows: DataFrame) -> DataFrame:
     plain = lambda c: F.when(blank_cell(c) == "&nbsp;", F.lit("&nbsp;")).otherwise(html_escape(c))
     cells = [F.concat(F.lit("<td>"), shown.get(n, plain)(F.col(n)), F.lit("</td>")) for n in (*LOCATION, *DETAILS)]
     return rows.withColumn("html", F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")))
+
+
+def write_table(rows: DataFrame, path: str) -> None:
+    """Writes the rows of row_html() as the lines of text files. They make up a table after HEADER and before </table>, as table() gives it."""
+    rows.select("html").write.mode("overwrite").text(path)
+
+
+HEADER = "<table><tr>" + "".join(f"<th>{n}</th>" for n in (*LOCATION, *DETAILS)) + "</tr>"
+
+
+def table(rows: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
+    """keys and table: one HTML table for each document, its rows in order. A document's listings were one text before, so a table is no larger."""
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, "html"))), lambda x: x["html"]), "")
+    return row_html(rows).groupBy(*keys).agg(F.concat(F.lit(HEADER), body, F.lit("</table>")).alias("table"))

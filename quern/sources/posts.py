@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = (
@@ -32,6 +34,13 @@ def read_posts(spark: SparkSession, path: str, on_error: str = "fail") -> DataFr
     return rows.where("p is not null").select("file", F.col("pos").cast("long").alias("pos"), "p.*")
 
 
+def parse(docs: DataFrame, json: str = "json") -> DataFrame:
+    """The posts of a column of JSON documents: other columns, pos and the fields of each post. Documents that don't parse have none."""
+    others = [c for c in docs.columns if c != json]
+    rows = docs.select(*others, F.from_json(json, SCHEMA).alias("_d")).select(*others, F.posexplode("_d.posts").alias("pos", "p"))
+    return rows.where("p is not null").select(*others, F.col("pos").cast("long").alias("pos"), "p.*")
+
+
 def check_meta(spark: SparkSession, path: str) -> DataFrame:
     """file, stated and actual number of posts of each document, and whether they agree."""
     docs = spark.read.schema(SCHEMA).options(multiLine=True).json(path)
@@ -39,6 +48,13 @@ def check_meta(spark: SparkSession, path: str) -> DataFrame:
     return docs.select(F.input_file_name().alias("file"), F.col("meta.total_posts").alias("stated"), n.alias("actual")).withColumn("agrees", F.col("stated").eqNullSafe(F.col("actual")))
 
 
+def items_html(docs: DataFrame, json: str = "json", items: str = "owl", field: str = "item", handler: Callable[[Column], Column] | None = None) -> DataFrame:
+    """html in place of the JSON: the strings of one field of a document's items, joined in order, or what handler makes of the items."""
+    data = F.from_json(json, f"{items} array<struct<{field} string>>")[items]
+    join = handler or (lambda x: F.array_join(F.transform(x, lambda i: F.coalesce(i[field], F.lit(""))), ""))
+    return docs.withColumn("html", join(data)).drop(json)
+
+
 def gather_items(spark: SparkSession, path: str, items: str = "owl", field: str = "item") -> DataFrame:
     """html: the strings of one field of a document's items, joined in order."""
     docs = spark.read.schema(f"{items} array<struct<{field} string>>").options(multiLine=True).json(path)
