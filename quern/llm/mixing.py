@@ -273,23 +273,24 @@ def wanted(targets: Mapping[str, float], model: Model) -> list[float]:
     return [float(targets[d]) * scale if f else 0.0 for d, f in zip(domains, full, strict=True)]
 
 
-def _rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], sample: int, buckets: int, doc_id: str, text: str) -> tuple[Model, Fit]:
-    domains = sorted(targets)
-    model = classifier(docs, labelled, domains, sample, buckets, doc_id, text)
-    scored = stage(posteriors(docs, model, text).select("tokens", "p"), "scored")
+def _fitted(scored: DataFrame, targets: Mapping[str, float], model: Model) -> Fit:
     fitted = fit(scored, wanted(targets, model))
     if max(map(abs, fitted.excess), default=0.0) > MISSED:
-        warnings.warn(f"targets out of reach, excess in shares of all tokens: {dict(zip(domains, fitted.excess, strict=True))}", stacklevel=3)
-    return model, fitted
+        warnings.warn(f"targets out of reach, excess in shares of all tokens: {dict(zip(sorted(targets), fitted.excess, strict=True))}", stacklevel=3)
+    return fitted
 
 
-def _copied(docs: DataFrame, model: Model, fitted: Fit, doc_id: str, text: str) -> DataFrame:
-    """posteriors() with rate and copies, the rate rounded up or down by a hash of id and text, so that it is right on average."""
-    r = posteriors(docs, model, text).withColumn("rate", rate(fitted.steps, len(model.labelled)))
+def _chanced(docs: DataFrame, model: Model, doc_id: str, text: str) -> DataFrame:
+    """posteriors() with chance, a hash of id and text between 0 and 1."""
     # Fields are named through the struct, as docs may have columns of any name.
     said = F.xxhash64(F.col("row")[doc_id], F.coalesce(F.col("row")[text], F.lit("")), F.lit("copies"))
-    chance = F.pmod(said, F.lit(1 << 30)) / float(1 << 30)
-    return r.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
+    return posteriors(docs, model, text).withColumn("chance", F.pmod(said, F.lit(1 << 30)) / float(1 << 30))
+
+
+def _copied(chanced: DataFrame, model: Model, fitted: Fit) -> DataFrame:
+    """Adds rate and copies, the rate rounded up or down by chance, so that it is right on average."""
+    r = chanced.withColumn("rate", rate(fitted.steps, len(model.labelled)))
+    return r.withColumn("copies", (F.floor("rate") + (F.col("chance") < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
 
 
 def mix(
@@ -315,19 +316,25 @@ def mix(
     telling words. Labels of unknown or null domains or ids are not used;
     without any label all domains are alike. Repeated rows get equal rates;
     null ids and sources are kept; other columns are ignored; an empty table
-    gives no rows. Texts are read three times and never shuffled, but for
-    those of labelled rows.
+    gives no rows. Texts are read once by the classifier, for the labelled
+    rows, and once for all; only those of labelled rows are shuffled.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"))
-    model, fitted = _rates(d, labelled, targets, sample, buckets, "doc_id", "text")
-    return _copied(d, model, fitted, "doc_id", "text").select("row.doc_id", "row.source", "tokens", "p", "rate", "copies")
+    model = classifier(d, labelled, sorted(targets), sample, buckets, "doc_id", "text")
+    scored = stage(_chanced(d, model, "doc_id", "text").select("row.doc_id", "row.source", "tokens", "p", "chance"), "scored")
+    return _copied(scored, model, _fitted(scored, targets, model)).drop("chance")
 
 
 def resample(
     docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], sample: int = SAMPLE, buckets: int = BUCKETS, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """docs with each row as often as mix() says, none to several times; columns stay as they are. Rows are copied where they lie."""
-    model, fitted = _rates(docs, labelled, targets, sample, buckets, doc_id, text)
+    """docs with each row as often as mix() says, none to several times; columns stay as they are. Rows are copied where they lie.
+
+    Posteriors are formed twice, for the fit and beside each row, which is
+    less work than to shuffle the rows to their rates.
+    """
+    model = classifier(docs, labelled, sorted(targets), sample, buckets, doc_id, text)
+    fitted = _fitted(stage(posteriors(docs, model, text).select("tokens", "p"), "scored"), targets, model)
     # An outer explode: an inner one would have its array tested, and so computed, twice.
     times = F.when(F.col("copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    return _copied(docs, model, fitted, doc_id, text).select("row", F.explode_outer(times).alias("_nth")).where("_nth is not null").select("row.*")
+    return _copied(_chanced(docs, model, doc_id, text), model, fitted).select("row", F.explode_outer(times).alias("_nth")).where("_nth is not null").select("row.*")
