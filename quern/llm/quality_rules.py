@@ -125,6 +125,8 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, doc_id: str = "doc_id"
     d = _measured(docs, doc_id, text)
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     verdict, names = compile_rules(rules)
+    # Always true, but it keeps a caller's filter on kept above this projection: pushed below, it would split each text many times.
+    verdict = verdict & (F.monotonically_increasing_id() >= 0)
     counts = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return d.select(*counts, base.alias("base_failed"), (~base & verdict).alias("kept"), names.alias("failed_rules"))
 
@@ -133,5 +135,5 @@ def keep(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") ->
     """The rows of docs that judge() keeps, with all their columns. Null and empty texts go. No shuffle."""
     row = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
     judged = judge(row, rules, "_row", "_text")
-    # A filter on kept would be pushed below the projection and split each text many times; what an outer explode gives stays above.
+    # What an outer explode gives is filtered above it, so the texts are split once.
     return judged.select("doc_id", F.explode_outer(F.when(F.col("kept"), F.array(F.lit(True)))).alias("_kept")).where("_kept is not null").select("doc_id.*")
