@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,9 @@ BLOCK = 1 << 18
 WIDTH = 160
 #: Bits of a set's sketch per element, at least; a power of two in all.
 BITS = 4
+#: One document in so many is looked at to find signatures that many sets share; one that LOUD or more of them share is dealt
+#: to SPREAD parts of tasks. At most LISTED such signatures are broadcast. None of these numbers changes a result.
+ONE_IN, LOUD, SPREAD, LISTED = 64, 64, 1024, 1 << 16
 #: Largest set whose size band is tabulated.
 LARGEST = 1 << 40
 
@@ -164,6 +168,19 @@ def _signed(docs: DataFrame, k: int, percent: int, settled: dict[int, int]) -> D
     return docs.mapInArrow(run, "sig long, node long")
 
 
+def _loud(texts: DataFrame, k: int, percent: int, settled: dict[int, int]) -> DataFrame:
+    """sig, loud (true): signatures that very many sets share, LISTED rows at most.
+
+    Found on a fixed share of the documents. Their sets need not meet to learn
+    that the signature is shared, so they are dealt to many tasks; sets of all
+    others meet by signature. A signature taken for loud that only one set has
+    pairs that set with itself, which gives no link.
+    """
+    some = texts.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(ONE_IN)) == 0))
+    counted = _signed(some, k, percent, settled).groupBy("sig").count().where(F.col("count") >= LOUD)
+    return stage(counted.orderBy(F.desc("count"), "sig").limit(LISTED).select("sig", F.lit(True).alias("loud")), "loud")
+
+
 def _sets(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -224,14 +241,19 @@ def _possible(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
 def _paired_blocks(nodes: DataFrame, data: DataFrame, percent: int) -> DataFrame:
     """home, s, t: for each home the pairs of its blocks that have more than one root and sizes that can be similar.
 
-    nodes: home, node, root, n; data: node, x. A home's sets are cut into
-    blocks of bounded size, in order of n. So a home of any size is spread, no
-    pairs of sets are rows, and no task holds more than two blocks at a time.
+    nodes: home, node, root, n; data: node, x. A home's sets are dealt by hash
+    to as many blocks as their bytes ask for, a large home's by classes of
+    size first. So a home of any size is spread without being sorted or
+    numbered in one task, no pairs of sets are rows, and no task holds more
+    than two blocks at a time.
     """
-    several = nodes.groupBy("home").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("home")
-    by = Window.partitionBy("home").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = nodes.join(several, "home", "left_semi").join(data.select("node", F.length("x").alias("bytes")), "node")
-    placed = placed.withColumn("block", F.floor((F.sum("bytes").over(by) - F.col("bytes")) / BLOCK)).drop("bytes")
+    sized = nodes.join(data.select("node", F.length("x").alias("bytes")), "node")
+    several = sized.groupBy("home").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum("bytes").alias("all")).where("lo <> hi")
+    step = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)) if percent < 100 else F.col("n")
+    classed = sized.join(several.select("home", "all"), "home").withColumn("class", F.when(F.col("all") > BLOCK, step).otherwise(F.lit(0)).cast("long"))
+    parts = classed.groupBy("home", "class").agg(F.ceil(F.sum("bytes") / BLOCK).alias("parts"))
+    block = F.struct("class", F.pmod(F.xxhash64("node"), F.greatest("parts", F.lit(1))).alias("part"))
+    placed = classed.join(parts, ["home", "class"]).select("home", "node", "root", "n", block.alias("block"))
     blocks = stage(
         placed.join(data, "node")
         .groupBy("home", "block")
@@ -239,10 +261,11 @@ def _paired_blocks(nodes: DataFrame, data: DataFrame, percent: int) -> DataFrame
         "blocks",
     )
     ends = blocks.drop("s")
-    # Both sides carry numbers only here.
-    others = ends.select("home", F.col("block").alias("with"), F.col("loroot").alias("lo2"), F.col("hiroot").alias("hi2"), F.col("lon").alias("n2"))
+    # Both sides carry numbers only here. Of two blocks, in any order, sets can be similar only if the largest of one
+    # reaches the smallest of the other.
+    others = ends.select("home", F.col("block").alias("with"), F.col("loroot").alias("lo2"), F.col("hiroot").alias("hi2"), F.col("lon").alias("n2"), F.col("hin").alias("hi2n"))
     numbers = ends.join(others, "home").where("block <= with and not (loroot = hiroot and lo2 = hi2 and loroot = lo2)")
-    numbers = numbers.where(F.col("hin") * 100 >= F.col("n2") * percent).select("home", "block", "with")
+    numbers = numbers.where(F.col("hin") * 100 >= F.col("n2") * percent).where(F.col("hi2n") * 100 >= F.col("lon") * percent).select("home", "block", "with")
     second = blocks.select("home", F.col("block").alias("with"), F.col("s").alias("t"))
     return numbers.join(blocks.select("home", "block", "s"), ["home", "block"]).join(second, ["home", "with"]).select("home", "s", "t")
 
@@ -349,9 +372,11 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, doc_id: str = "doc
     settled = {r["node"]: r["d"] for r in hot.where("c > 1").collect()}  # at most shared.WINNERS rows
 
     signed = _signed(texts.where("doc_id is not null"), k, percent, settled)
-    by = Window.partitionBy("sig")
-    shared_ = signed.withColumn("lo", F.min("node").over(by)).withColumn("hi", F.max("node").over(by)).where("lo <> hi").select("sig", "node").distinct()
-    members = stage(shared_, "members")
+    loud = _loud(texts, k, percent, settled)
+    dealt = signed.join(F.broadcast(loud), "sig", "left").select("sig", "node", F.when(F.col("loud"), F.pmod(F.xxhash64("node"), F.lit(SPREAD))).alias("part"))
+    by = Window.partitionBy("sig", "part")
+    met = dealt.withColumn("lo", F.min("node").over(by)).withColumn("hi", F.max("node").over(by)).where("lo <> hi or part is not null")
+    members = stage(met.select("sig", "node").distinct(), "members")
     # Frequent sets are one row each, settled before; of other sets the rows are few.
     some = rows.where("node is not null and doc_id is not null").select("node", "n", "bits").join(members.select("node").distinct(), "node", "left_semi")
     known = stage(some.dropDuplicates(["node"]), "sketches")
@@ -382,7 +407,7 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, doc_id: str = "doc
         found = stage(_within(suspects, _whole(texts, rows, suspects.select("node").distinct(), k), percent), "links")
         if not found.isEmpty():
             roots = components(links.unionByName(found))
-    discard(members, known, pivots, left, suspects)
+    discard(loud, members, known, pivots, left, suspects)
 
     # Smallest doc_id of each set, then of each component.
     least = same.groupBy("node").agg(F.min("doc_id").alias("d"))

@@ -31,16 +31,19 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = []
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK + 1)
-        _powers.clear()
-        for b in (_BASE, _INVERSE):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            with np.errstate(over="ignore"):
-                _powers.append(np.cumprod(p))
-    return _powers[0], _powers[1]
+def _power(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse. Tables for more than a chunk (a word may be longer) are not kept."""
+    if _powers and len(_powers[0]) >= n:
+        return _powers
+    tables = []
+    for b in (_BASE, _INVERSE):
+        p = np.full(max(n, 2 * CHUNK), b, np.uint64)
+        p[0] = 1
+        with np.errstate(over="ignore"):
+            tables.append(np.cumprod(p))
+    if n <= 2 * CHUNK:
+        _powers[:] = tables
+    return tables
 
 
 def spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,14 +67,21 @@ def spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each word, A-Z lower-cased."""
-    n = len(data)
-    power, inverse = _power(n)
-    with np.errstate(over="ignore"):
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_VALUE[data] * power[:n], out=total[1:])
-        h = (total[ends + 1] - total[starts]) * inverse[starts]
-        return mix(h + (ends - starts).astype(np.uint64))
+    """A hash of each word, A-Z lower-cased. Of a long text, words that begin in one chunk are hashed together."""
+    out = np.empty(len(starts), np.uint64)
+    cuts = np.searchsorted(starts, np.arange(0, len(data) + CHUNK, CHUNK)).tolist()
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if a == b:
+            continue
+        first = starts[a]
+        part = data[first : ends[b - 1] + 1]
+        power, inverse = _power(len(part))
+        with np.errstate(over="ignore"):
+            total = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(_VALUE[part] * power[: len(part)], out=total[1:])
+            h = (total[ends[a:b] - first + 1] - total[starts[a:b] - first]) * inverse[starts[a:b] - first]
+            out[a:b] = mix(h + (ends[a:b] - starts[a:b]).astype(np.uint64))
+    return out
 
 
 def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

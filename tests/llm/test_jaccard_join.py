@@ -3,7 +3,7 @@ import random
 import numpy as np
 from brute import jaccard_components
 
-from quern.llm import jaccard_join
+from quern.llm import jaccard_join, shingles
 from quern.llm.jaccard_join import bands, segments
 
 
@@ -91,3 +91,24 @@ def test_clusters_of_several_blocks(spark, monkeypatch):
     rng = random.Random(11)
     rows = family(rng, 0, 60, 50, 6) + family(rng, 100, 40, 80, 9)
     check(spark, rows)
+
+
+def test_loud_signatures(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "ONE_IN", 1)
+    monkeypatch.setattr(jaccard_join, "LOUD", 1)
+    monkeypatch.setattr(jaccard_join, "SPREAD", 5)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 300)
+    rng = random.Random(13)
+    rows = family(rng, 0, 90, 40, 4) + family(rng, 100, 20, 300, 30) + [(200, "alone with its own words here"), (201, None)]
+    check(spark, rows)
+
+
+def test_words_hash_alike_wherever_they_lie(monkeypatch):
+    text = "one Two three fourteen " * 40 + "x" * 500 + " one two"
+    data = np.frombuffer(text.encode(), np.uint8)
+    whole = shingles.words(data, np.array([0, len(data)]))[0]
+    monkeypatch.setattr(shingles, "CHUNK", 16)
+    monkeypatch.setattr(shingles, "_powers", [])
+    parts = shingles.words(data, np.array([0, len(data)]))[0]
+    assert np.array_equal(whole, parts)
+    assert whole[0] == whole[-2] and whole[1] == whole[-1] and len(set(whole.tolist())) == 5
