@@ -16,6 +16,8 @@ from quern.llm.shingles import chunks, hashed, mix, spans
 ABSTAIN, GOOD, BAD = 0, 1, 2
 #: Weights of the scorer, documents that it is trained on at most, and the least score of a kept document.
 BUCKETS, SAMPLE, LEAST = 1 << 16, 8192, 0.4
+#: Bytes of features that the scorer is trained on, at most; the driver holds them.
+SAMPLE_BYTES = 64 << 20
 
 
 class Labeller(NamedTuple):
@@ -194,52 +196,65 @@ def _label(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pattern long")
 
 
-def _sampled(docs: DataFrame, sample: int) -> list[tuple]:
-    """Pattern, feature buckets and values of at most `sample` documents, those with the smallest hash of their text."""
+def _sampled(docs: DataFrame, sample: int, most: int) -> list[tuple]:
+    """Pattern, feature buckets and values of at most `sample` documents, those with the smallest hash of their text.
+
+    In that order, a document whose features would make them more than `most`
+    bytes is passed over.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            for _, rows, t in _texts(b, 0):
+            for first, rows, t in _texts(b, 1):
                 bucket, at = features(t)
                 x, y = [], []
                 for k in range(rows):
                     own = np.unique(bucket[at[k] : at[k + 1]], return_counts=True)
                     x.append(own[0].astype(np.int32).tobytes())
                     y.append((own[1] / max(at[k + 1] - at[k], 1)).astype(np.float32).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(patterns(t)), pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["pattern", "x", "y"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(first, rows), pa.array(patterns(t)), pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["_k", "pattern", "x", "y"]
+                )
 
     # Only hashes are sorted; the texts of the chosen ones are read again.
     key = F.xxhash64("_t")
     chosen = docs.select(key.alias("_k")).distinct().orderBy("_k").limit(sample)
-    rows = stage(docs.select("_t", key.alias("_k")).join(F.broadcast(chosen), "_k").select("_t").mapInArrow(run, "pattern long, x binary, y binary"), "sample")
+    rows = docs.select(key.alias("_k"), "_t").join(F.broadcast(chosen), "_k")
     # Copies of a text count once.
-    return rows.distinct().limit(sample).collect()
+    rows = stage(rows.mapInArrow(run, "_k long, pattern long, x binary, y binary").dropDuplicates(["_k"]), "sample")
+    taken, total = [], 0
+    for k, size in sorted(map(tuple, rows.select("_k", F.length("x") + F.length("y")).collect())):
+        if total + size <= most:
+            taken.append((k,))
+            total += size
+    wanted = docs.sparkSession.createDataFrame(taken, "_k long")
+    return rows.join(F.broadcast(wanted), "_k", "left_semi").select("pattern", "x", "y").collect()
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[dict[int, float], np.ndarray]:
+def fit(docs: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_BYTES) -> tuple[dict[int, float], np.ndarray]:
     """P(good) by vote pattern, and the scorer's weights. docs: doc_id and _t, the text."""
     counted = sorted(_label(docs).groupBy("pattern").count().collect())  # 3 ** labellers rows at most
     pattern = np.array([r[0] for r in counted], np.int64)
     p, _ = posteriors(pattern, np.array([r[1] for r in counted], float), len(LABELLERS))
     known = dict(zip(pattern.tolist(), p.tolist(), strict=True))
-    rows = sorted(_sampled(docs, sample))
+    rows = sorted(_sampled(docs, sample, most))
     target = np.array([known[r["pattern"]] for r in rows])
     return known, train([(np.frombuffer(r["x"], np.int32), np.frombuffer(r["y"], np.float32).astype(float)) for r in rows], target)
 
 
-def classify(docs: DataFrame, least: float = LEAST, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def classify(docs: DataFrame, least: float = LEAST, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", most: int = SAMPLE_BYTES) -> DataFrame:
     """One row per row of docs: doc_id, posterior of the label model, score of the scorer, kept.
 
     The label model is fitted to the votes on all documents, through the
     counts of vote patterns. The scorer is trained on at most `sample`
-    distinct texts. Null text counts as empty: its score is the intercept's.
+    distinct texts, whose features take at most `most` bytes. Null text counts as empty: its score is the intercept's.
     Repeated rows get equal results; null ids and other columns change
     nothing; an empty table gives no rows.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    known, weights = fit(rows, sample)
+    known, weights = fit(rows, sample, most)
     weights = weights.astype(np.float32)
 
     def run(batches: Iterator) -> Iterator:

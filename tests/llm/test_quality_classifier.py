@@ -50,3 +50,13 @@ def test_edge_cases(spark):
     assert len(got) == len(rows) and all(0 <= r.score <= 1 and 0 <= r.posterior <= 1 for r in got)
     assert len({(r.score, r.kept) for r in got if r.doc_id in (1, 2, 4)}) == 1
     assert q.classify(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_training_features_are_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, f"word{i} " * (5 if i % 4 else 5000) + " ".join(f"w{j}" for j in range(i * 20))) for i in range(20)], "doc_id long, _t string")
+    every = q._sampled(docs, 100, 1 << 30)
+    some = q._sampled(docs, 100, 5000)
+    size = lambda rows: sum(len(r["x"]) + len(r["y"]) for r in rows)
+    assert len(every) == 20 and size(every) > 5000
+    assert 0 < len(some) < 20 and size(some) <= 5000
+    assert q._sampled(docs, 100, 0) == []
