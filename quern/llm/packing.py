@@ -13,7 +13,9 @@ from quern.llm.shared import stage
 
 SIZE, END = 2048, 1
 #: Chunks of text whose ids a worker remembers, and rows that it turns into Python objects at once.
-REMEMBERED, ROWS = 500_000, 64
+REMEMBERED, ROWS = 500_000, 1024
+#: New chunks that are encoded in one call; more are slower, as they leave the processor's cache.
+TOGETHER = 512
 #: Longer chunks are seldom seen again and are not remembered.
 FREQUENT = 11
 #: Pieces that one numbering bucket gets on average.
@@ -36,7 +38,7 @@ class ChunkEncoder:
     in its normalisation reaches across them. So the ids of a text are those
     of its chunks, one after another. Chunks are looked up; new ones are
     encoded together, set apart by a control character that is always a token
-    of its own. A full stop or comma after a letter, lower-cased, is one too, so such chunks
+    of its own, or, if words, by the tokens that end words. A full stop or comma after a letter, lower-cased, is one too, so such chunks
     are made from two. Words of Latin-1 letters need no normalisation beyond
     lower case and go to the merges directly. Lower case changes no ids but
     those of added tokens, so a text with "<|" keeps its case.
@@ -64,15 +66,19 @@ class ChunkEncoder:
         try:
             self._prepare(vocabulary)
             self.by_chunks = self._chunked([*self.PROBES]) == [self._alone(t) for t in self.PROBES]
-        except (KeyError, TypeError, ValueError):
+        except (AttributeError, LookupError, TypeError, ValueError):
             pass  # a vocabulary of another kind
         self.known, self.older = {}, {}
 
     def _prepare(self, vocabulary: str) -> None:
         import json
 
+        import numpy as np
         from tokenizers import Tokenizer
 
+        model = json.loads(vocabulary)["model"]
+        self.last = np.zeros(max(model["vocab"].values()) + 1, bool)
+        self.last[[i for t, i in model["vocab"].items() if t.endswith(model["end_of_word_suffix"])]] = True
         bare = json.loads(vocabulary) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
         self.merges = Tokenizer.from_str(json.dumps(bare))
         (self.mark,) = self.whole.encode(self.MARK, add_special_tokens=False).ids
@@ -87,16 +93,27 @@ class ChunkEncoder:
 
         return np.array(self.whole.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _together(self, chunks: list[str], words: bool, into: dict[str, bytes]) -> None:
+    def _merged(self, words: set[str], into: dict[str, bytes]) -> None:
+        """Adds the ids of lower-case words of Latin-1 letters. A word's last id, and no other, is one that ends words."""
+        import numpy as np
+
+        words = list(words)
+        for k in range(0, len(words), TOGETHER):
+            part = words[k : k + TOGETHER]
+            text = " ".join(part).encode().decode("latin-1").translate(self.letters)
+            ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            data, at = ids.tobytes(), 0
+            for c, cut in zip(part, (4 * np.flatnonzero(self.last[ids]) + 4).tolist(), strict=True):
+                into[c] = data[at:cut]
+                at = cut
+
+    def _apart(self, chunks: list[str], into: dict[str, bytes]) -> None:
+        """Adds the ids of any chunks without the mark, which is put between them."""
         import numpy as np
 
-        for k in range(0, len(chunks), 2048):
-            part = chunks[k : k + 2048]
-            text = f" {self.MARK} ".join(part)
-            if words:
-                text = text.encode().decode("latin-1").translate(self.letters)
-            use = self.merges if words else self.whole
-            ids = np.array(use.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        for k in range(0, len(chunks), TOGETHER):
+            part = chunks[k : k + TOGETHER]
+            ids = np.array(self.whole.encode_batch_fast([f" {self.MARK} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             data, at = ids.tobytes(), 0
             for c, cut in zip(part, [*np.flatnonzero(ids == self.mark).tolist(), len(ids)], strict=True):
                 into[c] = data[at * 4 : cut * 4]
@@ -130,8 +147,8 @@ class ChunkEncoder:
                 look[c] = self._alone(c)
             else:
                 others.append(c)
-        self._together([c for c in words if c not in look], True, look)
-        self._together(others, False, look)
+        self._merged(words - look.keys(), look)
+        self._apart(others, look)
         for c, low in cased:
             look[c] = look[low]
         for c in ended:
