@@ -6,7 +6,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.components import components
@@ -238,22 +238,24 @@ def _possible(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", "n", "m", "p", "q").mapInArrow(run, "a long, b long")
 
 
-def _paired_blocks(nodes: DataFrame, data: DataFrame, percent: int) -> DataFrame:
+def _paired_blocks(nodes: DataFrame, data: DataFrame, size: Column, percent: int) -> DataFrame:
     """home, s, t: for each home the pairs of its blocks that have more than one root and sizes that can be similar.
 
-    nodes: home, node, root, n; data: node, x. A home's sets are dealt by hash
-    to as many blocks as their bytes ask for, a large home's by classes of
-    size first. So a home of any size is spread without being sorted or
-    numbered in one task, no pairs of sets are rows, and no task holds more
-    than two blocks at a time.
+    nodes: home, node, root, n; data: node, x; size: the bytes of x, from n. A
+    home's sets are dealt by hash to as many blocks as their bytes ask for, a
+    large home's by classes of size first. So a home of any size is spread
+    without being sorted or numbered in one task, no pairs of sets are rows,
+    and no task holds more than two blocks at a time.
     """
-    sized = nodes.join(data.select("node", F.length("x").alias("bytes")), "node")
-    several = sized.groupBy("home").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum("bytes").alias("all")).where("lo <> hi")
     step = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)) if percent < 100 else F.col("n")
-    classed = sized.join(several.select("home", "all"), "home").withColumn("class", F.when(F.col("all") > BLOCK, step).otherwise(F.lit(0)).cast("long"))
-    parts = classed.groupBy("home", "class").agg(F.ceil(F.sum("bytes") / BLOCK).alias("parts"))
-    block = F.struct("class", F.pmod(F.xxhash64("node"), F.greatest("parts", F.lit(1))).alias("part"))
-    placed = classed.join(parts, ["home", "class"]).select("home", "node", "root", "n", block.alias("block"))
+    sized = nodes.withColumn("class", step.cast("long"))
+    classes = sized.groupBy("home", "class").agg(F.sum(size).alias("bytes"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    of = Window.partitionBy("home")  # a row for each class of size, of which there are few
+    several = classes.select("home", "class", "bytes", F.sum("bytes").over(of).alias("all"), F.min("lo").over(of).alias("lo"), F.max("hi").over(of).alias("hi")).where("lo <> hi")
+    large = F.col("all") > BLOCK
+    parts = several.select("home", "class", F.when(large, F.col("class")).otherwise(F.lit(0)).alias("as"), F.when(large, F.ceil(F.col("bytes") / BLOCK)).otherwise(F.lit(1)).alias("parts"))
+    block = F.struct(F.col("as").alias("class"), F.pmod(F.xxhash64("node"), F.greatest("parts", F.lit(1))).alias("part"))
+    placed = sized.join(parts, ["home", "class"]).select("home", "node", "root", "n", block.alias("block"))
     blocks = stage(
         placed.join(data, "node")
         .groupBy("home", "block")
@@ -301,7 +303,8 @@ def _suspects(nodes: DataFrame, known: DataFrame, percent: int) -> DataFrame:
                 homes = pa.array([b.column(0)[i].as_py()] * len(found), pa.int64())
                 yield pa.RecordBatch.from_arrays([homes, pa.array(sorted(found), pa.int64())], ["home", "node"])
 
-    both = _paired_blocks(nodes, known.select("node", F.col("bits").alias("x")), percent)
+    bits = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("n") * BITS, F.lit(64)))))
+    both = _paired_blocks(nodes, known.select("node", F.col("bits").alias("x")), bits / 8, percent)
     return both.mapInArrow(run, "home long, node long").distinct()
 
 
@@ -317,7 +320,7 @@ def _within(nodes: DataFrame, sets_: DataFrame, percent: int) -> DataFrame:
                 u, v = _compared(nodes_, roots, xs, others, other_roots, ys, percent)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return _paired_blocks(nodes, sets_, percent).mapInArrow(run, "u long, v long")
+    return _paired_blocks(nodes, sets_, 8 * F.col("n"), percent).mapInArrow(run, "u long, v long")
 
 
 def _compared(nodes, roots, xs, others, other_roots, ys, percent: int) -> tuple[list[int], list[int]]:
@@ -385,29 +388,34 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, doc_id: str = "doc
     sized = members.join(members.groupBy("sig").agg(F.count("*").alias("c")), "sig")
     weighed = sized.join(sized.groupBy("node").agg(F.sum("c").alias("w")), "node")
     pivots = stage(weighed.groupBy("sig").agg(F.max(F.struct("w", "node")).alias("f")).select("sig", F.col("f.node").alias("home")), "pivots")
-    around = members.join(pivots, "sig")
+    around = stage(members.join(pivots, "sig"), "around")
+    discard(loud, members, pivots)
     star = around.where("node <> home").select(F.col("home").alias("a"), F.col("node").alias("b")).distinct()
     pairs = stage(_possible(star, known, percent), "pairs")
-    links = stage(_linked(pairs, _whole(texts, rows, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), k), percent), "links")
-    discard(pairs)
     same = rows.where("node is not null and doc_id is not null").select("doc_id", "node")
-    # Rows that share an id tie their sets together.
-    tied = same.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("hi")).where("u <> hi").select("doc_id", "u")
-    ties = stage(same.join(tied, "doc_id").where("node <> u").select("u", F.col("node").alias("v")).distinct(), "ties")
-    links = links.unionByName(ties)
+    shared = stage(same.groupBy("doc_id").count().where("count > 1").select("doc_id"), "shared")
+    repeated = None if shared.isEmpty() else shared
+    links = stage(_linked(pairs, _whole(texts, same, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), repeated, k), percent), "links")
+    discard(pairs)
+    if repeated is not None:  # rows that share an id tie their sets together
+        several = same.join(repeated, "doc_id", "left_semi")
+        tied = several.join(several.groupBy("doc_id").agg(F.min("node").alias("u")), "doc_id").where("node <> u")
+        links = links.unionByName(stage(tied.select("u", F.col("node").alias("v")).distinct(), "ties"))
     roots = components(links)
 
-    rooted = around.join(roots, "node", "left").select("sig", "node", "home", F.coalesce("root", "node").alias("root"))
+    rooted = stage(around.join(roots, "node", "left").select("sig", "node", "home", F.coalesce("root", "node").alias("root")), "rooted")
+    discard(around)
     spans = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
     # All sets of a signature have its pivot as a home in common; a set may have several homes.
     left = rooted.join(spans, "sig", "left_semi").select("home", "node", "root").distinct().join(known.select("node", "n"), "node")
     left = stage(left, "open")
+    discard(rooted)
     suspects = stage(left.join(_suspects(left, known, percent), ["home", "node"], "left_semi"), "suspects")
     if not suspects.isEmpty():
-        found = stage(_within(suspects, _whole(texts, rows, suspects.select("node").distinct(), k), percent), "links")
+        found = stage(_within(suspects, _whole(texts, same, suspects.select("node").distinct(), repeated, k), percent), "links")
         if not found.isEmpty():
             roots = components(links.unionByName(found))
-    discard(loud, members, known, pivots, left, suspects)
+    discard(known, left, suspects)
 
     # Smallest doc_id of each set, then of each component.
     least = same.groupBy("node").agg(F.min("doc_id").alias("d"))
@@ -417,30 +425,35 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, doc_id: str = "doc
     return _named(rows, same, named, settled)
 
 
-def _whole(texts: DataFrame, rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """node, x: the whole set of each wanted node, from one document each."""
-    known = rows.where("doc_id is not null")
-    stands = known.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    chosen = stands.select("doc_id").distinct().join(known.groupBy("doc_id").count(), "doc_id").select("doc_id", (F.col("count") > 1).alias("again"))
+def _whole(texts: DataFrame, same: DataFrame, wanted: DataFrame, repeated: DataFrame | None, k: int) -> DataFrame:
+    """node, x: the whole set of each wanted node, from one document each. repeated: the ids that rows share, if any."""
+    stands = same.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    if repeated is None:
+        chosen = stands.select("doc_id", F.lit(False).alias("again"))
+    else:
+        chosen = stands.select("doc_id").distinct().join(repeated.withColumn("again", F.lit(True)), "doc_id", "left").fillna(False, ["again"])
     found = stage(_sets(texts.join(chosen, "doc_id").select("again", "_t"), k), "sets")
+    if repeated is None:
+        return found.select("node", "x")
     # Only rows that share an id can give a set twice.
     return found.where("not again").select("node", "x").unionByName(found.where("again").select("node", "x").dropDuplicates(["node"]))
 
 
 def _named(rows: DataFrame, same: DataFrame, named: DataFrame, settled: dict[int, int]) -> DataFrame:
     spark = rows.sparkSession
-    least = same.groupBy("node").agg(F.min("doc_id").alias("d"))
-    every = least.join(named, "node", "left").select("node", F.coalesce("component", "d").alias("component"))
-    # Rows of frequent sets are named from a broadcast; the others meet by set.
-    hot = F.broadcast(every.join(F.broadcast(spark.createDataFrame([(v,) for v in settled], "node long")), "node", "left_semi"))
     usual = F.coalesce(F.col("component"), F.when(F.col("doc_id").isNotNull(), F.col("doc_id")))
     out = ("doc_id", F.col("n").alias("n_shingles"), usual.alias("component_id"))
-    known = F.col("node").isNotNull() & F.col("doc_id").isNotNull()
-    frequent_ = F.col("node").isin(list(settled)) if settled else F.lit(False)
-    a = rows.where(known & frequent_).join(hot, "node").select(*out)
-    b = rows.where(known & ~frequent_).join(every, "node", "left").select(*out)
-    c = rows.where(~known).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return a.unionByName(b).unionByName(c)
+    known = rows.where("node is not null and doc_id is not null")
+    alone = rows.where("node is null or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    if settled:
+        # Rows of frequent sets, at most shared.WINNERS ones, are named from a broadcast; the others meet by set.
+        frequent_ = F.broadcast(spark.createDataFrame([(v,) for v in settled], "node long"))
+        least = settled | {r["node"]: r["component"] for r in named.join(frequent_, "node").collect()}
+        hot = F.broadcast(spark.createDataFrame(list(least.items()), f"node long, component {rows.schema['doc_id'].dataType.simpleString()}"))
+        alone = alone.unionByName(known.join(hot, "node").select(*out))
+        known, same = known.join(frequent_, "node", "left_anti"), same.join(frequent_, "node", "left_anti")
+    every = same.groupBy("node").agg(F.min("doc_id").alias("d")).join(named, "node", "left").select("node", F.coalesce("component", "d").alias("component"))
+    return known.join(every, "node", "left").select(*out).unionByName(alone)
 
 
 def representatives(docs: DataFrame, k: int = K, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

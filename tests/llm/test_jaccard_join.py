@@ -112,3 +112,20 @@ def test_words_hash_alike_wherever_they_lie(monkeypatch):
     parts = shingles.words(data, np.array([0, len(data)]))[0]
     assert np.array_equal(whole, parts)
     assert whole[0] == whole[-2] and whole[1] == whole[-1] and len(set(whole.tolist())) == 5
+
+
+def test_stages_stay_few(spark):
+    """Each exchange keeps threads and plans in the driver for a while, whatever the size of the table."""
+    rng = random.Random(17)
+    rows = family(rng, 0, 60, 50, 6) + family(rng, 100, 40, 80, 9)
+    scheduler = spark.sparkContext._jsc.sc().dagScheduler()
+    before = scheduler.nextStageId()
+    check(spark, rows)
+    assert scheduler.nextStageId() - before <= 185
+
+
+def test_ids_shared_by_rows_of_a_frequent_set(spark):
+    rng = random.Random(19)
+    same = "the same text that many rows hold and more of it"
+    rows = [(i % 40, same) for i in range(90)] + [(5, None), (7, "other words of a row with this id")] + family(rng, 30, 30, 40, 2)
+    check(spark, rows)
